@@ -35,10 +35,6 @@ def identify(messages: DataFrame, mapping: DataFrame) -> DataFrame:
         F.regexp_extract("id_source", r"^([A-Z][A-Z0-9]{2})-(\d+)(?:\.(\d+))?$", 2).try_cast("int").alias("_field"),
         F.coalesce(F.regexp_extract("id_source", r"^([A-Z][A-Z0-9]{2})-(\d+)(?:\.(\d+))?$", 3).try_cast("int"), F.lit(1)).alias("_component"),
     ).dropDuplicates(["_type"])  # one row per message type, as the mapping has it
-    m = messages.withColumn("_text", clean_text(F.col("raw"))).withColumn("_head", header_line(F.col("_text")))
-    ok = declares_header(F.col("_head"))
-    sep, comp, rep = (F.substring("_head", k, 1) for k in (4, 5, 6))
-
     m = messages.withColumn("_text", clean_text(F.col("raw"))).withColumn("_head", header_line(F.col("_text")))
     ok = declares_header(F.col("_head"))
     sep, comp, rep = (F.substring("_head", k, 1) for k in (4, 5, 6))
