@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import leakage, reading_level
+from . import leakage, ocr, reading_level
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.scanned_faults(table(spark, sf_dir, "retrieval_candidate"))
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ocr.repair(table(spark, sf_dir, "retrieval_candidate"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,5 +28,5 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_level.corpus_profile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p8_found, p10_found, p10_profile)}
 SQL: dict[str, str] = {}
