@@ -112,12 +112,12 @@ class Corpus:
         a, b = self.ids.get(before), self.ids.get(word)
         p = base
         if a is not None:
-            c = 0
+            c = 0.0
             if b is not None:
                 key = a * len(self.ids) + b
                 k = int(np.searchsorted(self.pair_keys, key))
-                c = int(self.pair_counts[k]) if k < len(self.pair_keys) and self.pair_keys[k] == key else 0
-            p = 0.6 * min(1.0, c / max(self.words[before], c, 1.0)) + 0.4 * base
+                c = float(self.pair_counts[k]) if k < len(self.pair_keys) and self.pair_keys[k] == key else 0
+            p = 0.6 * min(1.0, c / max(self.words[before], 0.05)) + 0.4 * base
         value = math.log(max(p, 1e-12))
         if len(self.pair_cache) > 500_000:
             self.pair_cache.clear()
@@ -408,12 +408,12 @@ def learn(texts: DataFrame, max_words: int = 200_000, max_pairs: int = 1_000_000
         a, _, b = pair.partition(" ")
         if a in ids and b in ids:
             keys.append(ids[a] * n + ids[b])
-            values.append(c + s)
+            values.append(c + 0.05 * s)
     order = np.argsort(np.array(keys, np.int64), kind="stable")
     lines = top("line", max_lines, 2, "clean + scanned")
     headers = frozenset(f for f, c, s in zip(lines["key"], lines["clean"], lines["scanned"]) if s >= 3 and c * 20 <= s)
     headings = frozenset(f for f, c, s in zip(lines["key"], lines["clean"], lines["scanned"]) if c * 20 > s and c >= 2)
-    return Corpus(table, (np.array(keys, np.int64)[order], np.array(values, np.int64)[order]), headers, headings)
+    return Corpus(table, (np.array(keys, np.int64)[order], np.array(values, np.float32)[order]), headers, headings)
 
 
 def scanned_faults(candidates: DataFrame, **bounds: int) -> DataFrame:
