@@ -56,6 +56,13 @@ def is_page_number(line: str) -> bool:
     return bool(core) and core.islower() and bool(_ROMAN.fullmatch(core))
 
 
+def is_letterhead(line: str) -> bool:
+    """Whether a line reads like the header of a page: title case or capitals, with a letterhead word and no sentence."""
+    s = line.strip()
+    words = s.split()
+    return bool(s) and len(s) <= 90 and s[-1] not in ".,;:" and bool(_LETTERHEAD.search(s)) and sum(not w[:1].islower() for w in words) >= 0.75 * len(words)
+
+
 def fold_line(line: str) -> str:
     """A line without case, numbers and the differences that misreadings make, to recognise it again."""
     s = _SPACE.sub(" ", line.strip().lower())

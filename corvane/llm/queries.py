@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import leakage, ocr, reading_level
+from . import leakage, ocr, privacy, reading_level
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.mentions(table(spark, sf_dir, "retrieval_candidate"), table(spark, sf_dir, "person_record"))
+    return found.select("id", "category", "start_pos")
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.redact(table(spark, sf_dir, "retrieval_candidate"), table(spark, sf_dir, "person_record"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,5 +37,5 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_level.corpus_profile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p8_found, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_repaired, p8_found, p10_found, p10_profile)}
 SQL: dict[str, str] = {}
