@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import leakage, ocr, privacy, reading_level
+from . import leakage, linkage, ocr, privacy, reading_level
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,14 @@ def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.repair(table(spark, sf_dir, "retrieval_candidate"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.match_records(table(spark, sf_dir, "person_record")).select("record_id_a", "record_id_b")
+
+
+def p3_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.match_records(table(spark, sf_dir, "person_record"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
 
@@ -37,5 +45,5 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_level.corpus_profile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_repaired, p8_found, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_repaired, p3_found, p3_confidence, p8_found, p10_found, p10_profile)}
 SQL: dict[str, str] = {}
