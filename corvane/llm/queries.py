@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import leakage, linkage, ocr, privacy, reading_level
+from . import leakage, linkage, mixing, ocr, privacy, reading_level
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,14 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item")).select("doc_id", "item_id")
 
 
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_level.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label")).select("doc_id", "band").distinct()
 
@@ -45,5 +53,5 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_level.corpus_profile(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_label"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_repaired, p3_found, p3_confidence, p8_found, p10_found, p10_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p2_repaired, p3_found, p3_confidence, p8_found, p9_mixture, p9_shares, p10_found, p10_profile)}
 SQL: dict[str, str] = {}
