@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .ocr import is_letterhead, is_page_number, is_scanned, lines_of
 
 CATEGORIES = ("name", "email", "phone", "identity_number", "street_address")
@@ -65,6 +66,7 @@ class Gazetteer:
     towns: frozenset[str] = frozenset()
     heads: frozenset[str] = field(default_factory=frozenset)
     tails: frozenset[str] = field(default_factory=frozenset)
+    cache: dict[str, int] = field(default_factory=dict)
 
     @classmethod
     def build(cls, given: dict[str, int], family: dict[str, int], towns: set[str], common: frozenset[str]) -> Gazetteer:
@@ -82,7 +84,13 @@ class Gazetteer:
 
     def knows(self, word: str) -> int:
         """3 for a given name, 2 for a family name, 1 for a word composed like one, 0 otherwise."""
-        w = word.lower()
+        if (strength := self.cache.get(word)) is None:
+            if len(self.cache) > 500_000:
+                self.cache.clear()
+            self.cache[word] = strength = self._strength(word.lower())
+        return strength
+
+    def _strength(self, w: str) -> int:
         if w in self.given:
             return 3
         parts = [p for p in re.split(r"[-'’]", w) if len(p) > 1]
@@ -371,19 +379,24 @@ class Finder:
     gazetteer: Gazetteer
     weights: np.ndarray
 
-    def find(self, text: str) -> list[tuple[str, int, int, float]]:
-        """(category, begin, end, probability) of the mentions; of overlapping spans the likelier stays."""
-        scored = [(c, a, b, float(1 / (1 + np.exp(-self.weights[f].sum())))) for c, a, b, _, f in candidates(text, self.gazetteer)]
+    def choose(self, proposed: list[tuple[str, int, int, list[int]]]) -> list[tuple[str, int, int, float]]:
+        """(category, begin, end, probability) of the mentions among proposed spans; of overlapping spans the likelier stays."""
+        scored = [(c, a, b, float(1 / (1 + np.exp(-self.weights[f].sum())))) for c, a, b, f in proposed]
         kept: list[tuple[str, int, int, float]] = []
         for c in sorted((s for s in scored if s[3] >= 0.5), key=lambda s: (-s[3], s[1] - s[2], s[1])):
             if all(c[2] <= k[1] or c[1] >= k[2] for k in kept):
                 kept.append(c)
         return sorted(kept, key=lambda s: s[1])
 
-    def redact(self, text: str) -> str:
+    def find(self, text: str) -> list[tuple[str, int, int, float]]:
+        """The mentions of a text."""
+        return self.choose([(c, a, b, f) for c, a, b, _, f in candidates(text, self.gazetteer)])
+
+    @staticmethod
+    def redact(text: str, found: list[tuple[str, int, int, float]]) -> str:
         """The text with each mention replaced by the placeholder of its type."""
         out, at = [], 0
-        for category, begin, end, _ in self.find(text):
+        for category, begin, end, _ in found:
             out += [text[at:begin], PLACEHOLDERS[category]]
             at = end
         return "".join([*out, text[at:]])
@@ -411,31 +424,27 @@ def learn_gazetteer(records: DataFrame, texts: DataFrame, max_words: int = 200_0
     return Gazetteer.build(given_words, family_words, set(by.get("town", {})), common)
 
 
-def learn(texts: DataFrame, records: DataFrame, max_texts: int = 4_000) -> Finder:
-    """Gazetteer, reliabilities from all texts, and a classifier trained on at most ``max_texts`` texts chosen by a hash."""
-    spark = texts.sparkSession
-    gazetteer = learn_gazetteer(records, texts)
-    shared = spark.sparkContext.broadcast(gazetteer)
+_SPANS = "array<struct<category: string, a: long, b: long, votes: string, features: array<int>>>"
 
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            counts: dict[tuple[str, str], int] = {}
-            for text in pdf["text"]:
-                for c, _, _, v, _ in candidates(text, shared.value):
-                    key = (c, ",".join(map(str, v)))
-                    counts[key] = counts.get(key, 0) + 1
-            yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["category", "votes", "n"])
 
-    patterns = texts.select("text").mapInPandas(vote, "category string, votes string, n long").groupBy("category", "votes").agg(F.sum("n").alias("n")).collect()  # at most 3^5 per category
-    posterior = estimate_reliabilities({(r.category, tuple(map(int, r.votes.split(",")))): r.n for r in patterns})
+def propose(texts: DataFrame, gazetteer: Gazetteer) -> DataFrame:
+    """(id, text, spans): the proposed spans of each text, written to the shared folder so that texts are read once."""
+    shared = texts.sparkSession.sparkContext.broadcast(gazetteer)
 
-    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(c, ",".join(map(str, v)), f) for text in pdf["text"] for c, _, _, v, f in candidates(text, shared.value)]
-            yield pd.DataFrame(rows, columns=["category", "votes", "features"])
+            rows = [[(c, a, b, ",".join(map(str, v)), f) for c, a, b, v, f in candidates(t, shared.value)] for t in pdf["text"]]
+            yield pdf.assign(spans=[[dict(zip(("category", "a", "b", "votes", "features"), r)) for r in row] for row in rows])
+
+    return materialize(texts.select("id", "text").mapInPandas(spans, f"id string, text string, spans {_SPANS}"), "spans")
+
 
-    chosen = texts.select("id", "text").orderBy(F.xxhash64("text"), "id").limit(max_texts)
-    rows = chosen.mapInPandas(sample, "category string, votes string, features array<int>").toPandas()  # bounded by max_texts
+def learn(proposed: DataFrame, gazetteer: Gazetteer, max_texts: int = 4_000) -> Finder:
+    """Reliabilities from the spans of all texts, and a classifier trained on those of at most ``max_texts`` texts chosen by a hash."""
+    patterns = proposed.select(F.explode("spans").alias("s")).groupBy("s.category", "s.votes").count().collect()  # at most 3^5 per category
+    posterior = estimate_reliabilities({(r.category, tuple(map(int, r.votes.split(",")))): r["count"] for r in patterns})
+    chosen = proposed.where(F.size("spans") > 0).select("id", "spans").orderBy(F.xxhash64("id"), "id").limit(max_texts)
+    rows = chosen.select(F.explode("spans").alias("s")).select("s.*").toPandas()  # bounded by max_texts
     training = [(list(f), posterior[c, tuple(map(int, v.split(",")))]) for c, v, f in zip(rows["category"], rows["votes"], rows["features"])]
     return Finder(gazetteer, train_classifier(training))
 
@@ -451,23 +460,30 @@ def mentions(table: DataFrame, records: DataFrame, **bounds: int) -> DataFrame:
     ids and texts and empty texts have none. Repeated rows count once. Whole texts are searched, however long.
     """
     texts = _texts(table)
-    finder = texts.sparkSession.sparkContext.broadcast(learn(texts, records, **bounds))
+    gazetteer = learn_gazetteer(records, texts)
+    proposed = propose(texts, gazetteer)
+    finder = texts.sparkSession.sparkContext.broadcast(learn(proposed, gazetteer, **bounds))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(key, c, a, b) for key, text in zip(pdf["id"], pdf["text"]) for c, a, b, _ in finder.value.find(text)]
+            rows = [(key, c, a, b) for key, spans in zip(pdf["id"], pdf["spans"]) for c, a, b, _ in finder.value.choose([(s["category"], s["a"], s["b"], s["features"]) for s in spans])]
             yield pd.DataFrame(rows, columns=["id", "category", "start_pos", "end_pos"])
 
-    return texts.mapInPandas(find, "id string, category string, start_pos long, end_pos long").distinct()
+    return proposed.where(F.size("spans") > 0).select("id", "spans").mapInPandas(find, "id string, category string, start_pos long, end_pos long").distinct()
 
 
 def redact(table: DataFrame, records: DataFrame, **bounds: int) -> DataFrame:
     """(id, redacted_text), distinct: each text with typed placeholders; nulls stay null."""
     texts = _texts(table)
-    finder = texts.sparkSession.sparkContext.broadcast(learn(texts, records, **bounds))
+    gazetteer = learn_gazetteer(records, texts)
+    proposed = propose(texts, gazetteer)
+    finder = texts.sparkSession.sparkContext.broadcast(learn(proposed, gazetteer, **bounds))
 
     def replace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "redacted_text": [finder.value.redact(t) for t in pdf["text"]]})
+            out = []
+            for text, spans in zip(pdf["text"], pdf["spans"]):
+                out.append(finder.value.redact(text, finder.value.choose([(s["category"], s["a"], s["b"], s["features"]) for s in spans])))
+            yield pd.DataFrame({"id": pdf["id"], "redacted_text": out})
 
-    return texts.mapInPandas(replace, "id string, redacted_text string")
+    return proposed.mapInPandas(replace, "id string, redacted_text string")
