@@ -71,6 +71,7 @@ def test_calibration_on_held_out_pairs():
     y = rng.random(n) < 0.4
     level = lambda p, q, top: np.where(rng.random(n) < np.where(y, p, q), top, 0)
     s = pd.DataFrame({"given_l": level(0.95, 0.1, 3), "family_l": level(0.97, 0.4, 3), "middle_l": -1, "birth_l": level(0.9, 0.02, 3), "sex_l": level(0.99, 0.5, 1), "phone_l": level(0.7, 0.2, 1), "street_l": level(0.7, 0.2, 1), "postal_l": level(0.8, 0.25, 1), "swapped": 0})
+    s["n"], s["fold"] = 1, np.arange(n) % 5
     m = linkage.PairModel(s[:3000])
     x = np.column_stack((linkage._matrix(s[3000:]), np.ones(1000)))
     p = 1 / (1 + np.exp(-((x @ m.weights) * m.scale + m.shift)))
