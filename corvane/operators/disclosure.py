@@ -17,10 +17,12 @@ def suppress(cells: DataFrame, total: DataFrame, keys: list[str], minimum: int,
     A cell of fewer than ``minimum`` but at least one subject is primary-suppressed; zero cells stay. Of additive
     measures, further cells are suppressed, smallest (value, key) first, until at least two are suppressed and the
     published ones don't give the total away; if no prefix suffices, all are. A suppressed value is null. ``total`` has
-    one row with ``total``; without one the result is empty. Cells with a null value are never candidates.
+    one row with ``total``; without one no prefix suffices. Cells with a null value are never candidates.
     """
+    row = total.first()  # one number
+    whole = row["total"] if row else None
     label = F.concat_ws("\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys]) if keys else F.lit("")
-    c = cells.withColumn("_p", (F.col("subjects") > 0) & (F.col("subjects") < minimum)).withColumn("_g", label).crossJoin(F.broadcast(total))
+    c = cells.withColumn("_p", (F.col("subjects") > 0) & (F.col("subjects") < minimum)).withColumn("_g", label).withColumn("total", F.lit(whole).cast("double"))
     everything = Window.partitionBy()  # published cells are few: groups of one report
     c = c.withColumns({"_np": F.sum(F.col("_p").cast("long")).over(everything), "_open": F.sum(F.when(~F.col("_p"), F.col("value")).otherwise(0.0)).over(everything)})
     # rank and running sum among the candidates in order of (value, key)

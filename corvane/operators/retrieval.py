@@ -23,13 +23,14 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5,
     query terms are joined; per-document scores are partial sums before the ranking. Ties go to the smaller doc_id.
     """
     tokens = documents.where("text is not null").select("doc_id", terms(F.col("text")).alias("t")).withColumn("n", F.size("t"))
-    stats = tokens.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+    stats = tokens.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()  # two numbers
     wanted = queries.select("query_id", F.explode(terms(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     vocabulary = wanted.select("term").distinct()
     tf = tokens.select("doc_id", "n", F.explode("t").alias("term")).join(vocabulary, "term", "left_semi").groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", "mean", F.log1p((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hit = tf.join(idf, "term").select("doc_id", "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))).alias("s"))
+    idf = df.select("term", F.log1p((stats.docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    mean = stats["mean"] or 1.0
+    hit = tf.join(idf, "term").select("doc_id", "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / mean))).alias("s"))
     scored = hit.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("s") * F.col("times")), 6).alias("score")).where("score > 0")
     return top_k(scored, k)
 

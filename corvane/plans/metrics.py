@@ -135,7 +135,8 @@ def measure(facts: DataFrame, metric: Metric, keys: list[str]) -> DataFrame:
         values = v.where(F.col("_c") >= at).groupBy(*keys).agg(F.min("_v").alias("value"))
         subjects = facts.groupBy(*keys).agg(subject.cast("long").alias("subjects"))
         if not keys:
-            return values.crossJoin(F.broadcast(subjects))
+            n = subjects.first()["subjects"]  # one number
+            return values.where("value is not null").withColumn("subjects", F.lit(n).cast("long"))
         cond = reduce(lambda a, b: a & b, [values[k].eqNullSafe(subjects[k]) for k in keys])
         return values.join(subjects, cond).select(*[values[k] for k in keys], "value", "subjects").where("value is not null")
     x = F.when(hit, F.col(metric.column or metric.filters[0][0] if metric.column or metric.filters else "date_key"))

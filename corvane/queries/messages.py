@@ -14,7 +14,7 @@ def h_acknowledgements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def h_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.results(M.parse(table(spark, sf_dir, "hl7_message")))
+    return M.results(table(spark, sf_dir, "hl7_message"))
 
 
 def h_patients(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.messages import clean_text, declares_header, header_line
 from ..operators.parsing import bad_segments, header_of
 
 _LINES = re.compile(r"\r\n|\r|\n")
@@ -94,8 +95,20 @@ def validate(parsed: DataFrame) -> DataFrame:
     )
 
 
-def results(parsed: DataFrame) -> DataFrame:
-    """(delivery_id, position, code, value, unit, status): one row per result segment, repeating segments kept apart."""
-    s = parsed.select("delivery_id", F.posexplode("segments").alias("position", "s")).where("s.name = 'OBX'")
-    at = lambda n, c=0: F.nullif(F.get(F.get(F.get(F.col("s.fields"), F.lit(n - 1)), F.lit(0)), F.lit(c)), F.lit(""))
-    return s.select("delivery_id", "position", at(3).alias("code"), at(5).alias("value"), at(6).alias("unit"), at(11).alias("status"))
+def results(messages: DataFrame) -> DataFrame:
+    """(delivery_id, position, code, value, unit, status): one row per result segment of (delivery_id, raw), repeating segments kept apart.
+
+    Works in the JVM on the lines of the result segments alone. Escaped delimiters are decoded; empty fields are null.
+    Position counts a message's lines from 0. Messages without header have no rows.
+    """
+    m = messages.select("delivery_id", clean_text(F.col("raw")).alias("t")).withColumn("h", header_line(F.col("t"))).where(declares_header(F.col("h")))
+    m = m.select("delivery_id", *[F.substring("h", k, 1).alias(n) for n, k in (("s", 4), ("c", 5), ("r", 6), ("e", 7))], F.rpad(F.substring("h", 8, 1), 1, "&").alias("b"), F.posexplode(F.filter(F.split("t", r"[\r\n]+"), lambda x: ~x.rlike(r"^[\s\x0B\x1C]*$"))).alias("position", "line"))
+    m = m.where(F.col("line").startswith(F.concat(F.lit("OBX"), F.col("s"))))
+
+    def part(n: int) -> Column:
+        value = F.split_part(F.split_part(F.split_part(F.regexp_replace("line", r"[\x0B\x1C]+$", ""), F.col("s"), F.lit(n + 1)), F.col("r"), F.lit(1)), F.col("c"), F.lit(1))
+        for code, mark in (("F", "s"), ("S", "c"), ("R", "r"), ("T", "b"), ("E", "e")):
+            value = F.replace(value, F.concat("e", F.lit(code), "e"), F.col(mark))
+        return F.nullif(value, F.lit(""))
+
+    return m.select("delivery_id", "position", part(3).alias("code"), part(5).alias("value"), part(6).alias("unit"), part(11).alias("status"))

@@ -31,7 +31,7 @@ def dims(spark, fact):
     return {"dim_date": dim_date(fact), "dim_code": spark.createDataFrame([("k", "1", "L", "Glucose", "lab")], "code_key string, code string, code_system string, display string, category string"), "dim_cohort": spark.createDataFrame([("c", "0-4", "male", "021", None)], "cohort_key string, age_band string, sex string, postal_prefix string, risk_band string"), "dim_organization": spark.createDataFrame([], "organization_key string, organization_id string, organization_name string, organization_kind string, region string")}
 
 
-def test_catalogue_is_valid():
+def test_catalogue_is_valid(spark):
     assert len(CATALOGUE) == 18
     for m in CATALOGUE.values():
         m.validate()
@@ -182,9 +182,10 @@ def test_messages(spark):
     assert [s["name"] for s in segments] == ["MSH", "PID", "OBR", "OBX"] and bad == ["zz|"]
     assert segments[1]["fields"][2] == [["77", "", "", "X"], ["88"]] and segments[1]["fields"][4][0][0] == "Doe&Co" and segments[3]["fields"][5][0] == ["g^L"]
     assert decode("a\\X41\\\\.br\\\\H\\b\\Q\\", "|", "^~\\&") == "aA\nb\\Q\\" and parse_message(None) == (None, [])
-    m = parse(spark.createDataFrame([(1, raw), (2, None), (3, "MSH|^~\\&|A|B|||2026||ADT^A01|c\rPID|1")], "delivery_id long, raw string"))
+    raws = spark.createDataFrame([(1, raw), (2, None), (3, "MSH|^~\\&|A|B|||2026||ADT^A01|c\rPID|1")], "delivery_id long, raw string")
+    m = parse(raws)
     assert {r.delivery_id: (r.acknowledgement, r.missing) for r in validate(m).collect()} == {1: ("AA", ""), 2: ("AR", None), 3: ("AE", "EVN")}
-    assert [(r.code, r.value, r.status) for r in results(m).collect()] == [("718-7", "7.1", "F")]
+    assert [(r.code, r.value, r.status) for r in results(raws).collect()] == [("718-7", "7.1", "F")] and results(raws).collect()[0].unit == "g^L"
 
 
 def test_events(spark, tmp_path):
