@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -150,9 +150,9 @@ def mix(documents: DataFrame, targets: DataFrame, *, vocabulary: str = DEFAULT_V
     drawn = sized.join(final, ["source", "lang", "topic"]).withColumn("copies", F.col("base") + (F.col("_h") < F.col("below")).cast("long"))
     mixture = drawn.where("copies > 0").select("doc_id", "source", "lang", "topic", "tokens", "copies")
     sums_of = mixture.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("largest_copies"))
-    whole = sums_of.agg(F.sum("mixed_tokens").alias("_all"))
+    whole = F.sum("mixed_tokens").over(Window.partitionBy())  # the report has one row per target
     have = sized.groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
-    report = targets.where("source is not null and target_share > 0").select("source", "target_share", F.col("max_repeats").cast("long").alias("max_repeats")).join(have, "source", "left").join(sums_of, "source", "left").crossJoin(F.broadcast(whole))
+    report = targets.where("source is not null and target_share > 0").select("source", "target_share", F.col("max_repeats").cast("long").alias("max_repeats")).join(have, "source", "left").join(sums_of, "source", "left").withColumn("_all", whole)
     report = report.select(
         "source", "target_share", F.coalesce(F.col("mixed_tokens") / F.col("_all"), F.lit(0.0)).alias("reached_share"), F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"),
         F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce("largest_copies", F.lit(0)).alias("largest_copies"), "max_repeats",
