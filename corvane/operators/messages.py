@@ -27,8 +27,9 @@ def identify(messages: DataFrame, mapping: DataFrame) -> DataFrame:
 
     ``mapping`` needs message_type and id_source such as ``OBR-3.1`` or ``MSH-10``. Messages without header, of
     an unmapped type or with an empty identifier get a null identifier. The first occurrence of the field counts:
-    its first segment and repetition, by default its first component.
+    its first segment and repetition, by default its first component. Columns of the same names are replaced.
     """
+    own = [c for c in messages.columns if c not in ("message_type", "facility", "identifier")]
     spec = mapping.where(F.col("id_source").isNotNull()).select(
         F.col("message_type").alias("_type"),
         F.regexp_extract("id_source", r"^([A-Z][A-Z0-9]{2})-(\d+)(?:\.(\d+))?$", 1).alias("_segment"),
@@ -50,4 +51,4 @@ def identify(messages: DataFrame, mapping: DataFrame) -> DataFrame:
     )
     at = F.when(F.col("_segment") == "MSH", F.col("_field")).otherwise(F.col("_field") + 1)
     value = part(part(part(F.regexp_replace(line, r"[\x0B\x1C]+$", ""), F.col("_sep"), at), F.col("_rep"), F.lit(1)), F.col("_comp"), F.col("_component"))
-    return m.withColumn("identifier", F.nullif(F.trim(value), F.lit(""))).select(*messages.columns, "message_type", "facility", "identifier")
+    return m.withColumn("identifier", F.nullif(F.trim(value), F.lit(""))).select(*own, "message_type", "facility", "identifier")

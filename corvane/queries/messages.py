@@ -29,6 +29,11 @@ def h_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (h_acknowledgements, h_results, h_patients, h_identifiers)}
+_PART = "nullif(replace(replace(replace(replace(replace(split_part(split_part(split_part(line, s, {0}), r, 1), c, 1), e || 'F' || e, s), e || 'S' || e, c), e || 'R' || e, r), e || 'T' || e, b), e || 'E' || e, e), '')"
 SQL = {
+    "h_results": r"""WITH t AS (SELECT delivery_id, regexp_replace(coalesce(raw, ''), '^[\x0B\x1C\r\n]+', '') AS x FROM hl7_message), h AS (SELECT *, regexp_replace(regexp_extract(x, '^[^\r\n]*'), '[\x0B\x1C]+$', '') AS m FROM t),
+k AS (SELECT delivery_id, substr(m, 4, 1) AS s, substr(m, 5, 1) AS c, substr(m, 6, 1) AS r, substr(m, 7, 1) AS e, substr(m, 8, 1) AS b, list_filter(regexp_split_to_array(x, '[\r\n]+'), lambda y: NOT regexp_matches(y, '^[\s\x0B\x1C]*$')) AS ls FROM h WHERE length(m) >= 8 AND m LIKE 'MSH%'),
+u AS (SELECT *, unnest(ls) AS l, (generate_subscripts(ls, 1) - 1)::INT AS position FROM k), v AS (SELECT *, regexp_replace(l, '[\x0B\x1C]+$', '') AS line FROM u WHERE starts_with(l, 'OBX' || s))
+SELECT delivery_id, position, """ + ", ".join(f"{_PART.format(n + 1)} AS {name}" for n, name in ((3, "code"), (5, "value"), (6, "unit"), (11, "status"))) + " FROM v",
     "h_identifiers": "SELECT system, value, count(DISTINCT record_id) AS records FROM (SELECT record_id, unnest(identifiers).system AS system, unnest(identifiers).value AS value FROM person_record) GROUP BY ALL HAVING count(DISTINCT record_id) > 1",
 }

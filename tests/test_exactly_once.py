@@ -56,3 +56,11 @@ def test_restart_takes_up_new_files_only(spark, tmp_path, mapping):
     kw = {"out": str(tmp_path / "out"), "checkpoint": str(tmp_path / "cp")}
     assert run(spark, tmp_path, [[(1, t, message("ADT", "a"), None, None)]], mapping, **kw) == (set(), {1})
     assert run(spark, tmp_path, [[(2, t, message("ADT", "a"), None, None), (3, t, message("ADT", "b"), None, None)]], mapping, **kw) == ({2}, {1, 3})
+
+
+def test_identifiers_replace_columns_of_the_same_name(spark, mapping):
+    from corvane.operators.messages import identify
+
+    rows = spark.createDataFrame([(1, None, message("ADT", "c1"), "old", "old"), (2, None, "x", None, None)], MSG)
+    got = {r.delivery_id: (r.message_type, r.facility, r.identifier) for r in identify(rows, mapping).collect()}
+    assert got == {1: ("ADT", "F", "c1"), 2: (None, None, None)}
