@@ -59,6 +59,28 @@ def test_chunked_block_pairs_are_complete(spark):
     assert pairs == {(a, b) for a in ids for b in ids if a < b}
 
 
+def test_large_block_keeps_pairs_of_different_records(spark):
+    """Records that share their telephone number and nothing else, and pairs that share no other block either."""
+    ids = list(range(130))
+    rows = [(i, f"{chr(97 + i % 26) * 4}{i}", [f"{chr(97 + i % 26) * 4}{i}"], f"{chr(97 + i // 26) * 3}{i}", None, dt.date(1930, 1, 1) + dt.timedelta(days=190 * i), "male" if i % 2 else "female", "5550001111", f"{i} st", f"{10000 + i}") for i in ids]
+    people = spark.createDataFrame(rows, "rid long, family string, family_parts array<string>, given string, middle string, birth date, sex string, phone string, street string, postal string")
+    for chunk in (30, 500):
+        pairs = [(r.a, r.b) for r in linkage.candidate_pairs(people, max_block=10, chunk=chunk).collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a in ids for b in ids if a < b}
+
+
+def test_hot_name_keeps_changed_records(spark):
+    """Many records of one name and birth year; a match with a wrong day and other contacts meets only in those blocks."""
+    rows = []
+    for k in range(80):
+        born = dt.date(1970, 1 + k % 12, 1 + k % 27)
+        rows.append((2 * k, "Alderby", ["alderby"], "ada", None, born, "female", f"2005550{k:03}", f"{k} a st", f"{10000 + k}"))
+        rows.append((2 * k + 1, "Alderby", ["alderby"], "ada", None, born.replace(day=born.day + 1), "female", f"3005551{k:03}", f"{k} b st", f"{20000 + k}"))
+    people = spark.createDataFrame(rows, "rid long, family string, family_parts array<string>, given string, middle string, birth date, sex string, phone string, street string, postal string")
+    pairs = {(r.a, r.b) for r in linkage.candidate_pairs(people, max_block=5).collect()}
+    assert {(2 * k, 2 * k + 1) for k in range(80)} <= pairs
+
+
 def test_nulls_and_empty(spark):
     rows = [("a", None, None, None, None, None, None, None, None, None), (None, "one", [("official", "X", ["Y"])], None, None, None, None, None, None, None), ("b", "two", [], None, None, [], [], None, None, None), ("c", "two", [(None, None, None)], None, "", [(None, None, None)], [(None, None)], None, None, None)]
     assert linkage.match_records(spark.createDataFrame(rows, PERSON)).count() == 0
