@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,20 +153,30 @@ def pack_context(candidates: DataFrame, budget: int = 5000, blocks: int = 20) ->
     """(query_id, id, rank, tokens): per query the candidates that fit a token budget, in rank order.
 
     ``candidates`` has query_id, id, text, rank. Equal contents are packed once; a block over the rest of the budget is
-    skipped and smaller ones after it still fit. A query's candidates are a ranking and so bounded; its best 500 are read.
+    skipped and smaller ones after it still fit. All candidates are read, however many a query has: they are sorted
+    without their texts and pass by in batches, of which only the rest of the budget is kept.
     """
     from ..functions.text import content_digest, token_estimate
 
-    c = candidates.where("text is not null").select("query_id", "id", F.col("rank").cast("long").alias("rank"), token_estimate(F.col("text")).alias("tokens"), content_digest(F.col("text")).alias("digest"))
+    c = candidates.where("text is not null").select(F.col("query_id").cast("long"), F.col("id").cast("string"), F.col("rank").cast("long").alias("rank"), token_estimate(F.col("text")).alias("tokens"), content_digest(F.col("text")).alias("digest"))
     once = c.withColumn("_d", F.row_number().over(Window.partitionBy("query_id", "digest").orderBy("rank", "id"))).where("_d = 1")
-    near = once.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "id"))).where("_r <= 500").drop("_d", "_r", "digest")
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest, kept = budget, []
-        for row in pdf.sort_values(["rank", "id"]).itertuples(index=False):
-            if len(kept) < blocks and row.tokens <= rest:
-                kept.append(row)
-                rest -= row.tokens
-        return pd.DataFrame(kept, columns=pdf.columns)
-
-    return near.groupBy("query_id").applyInPandas(fill, "query_id long, id string, rank long, tokens long")
+    walk = once.select("query_id", "id", "rank", "tokens").repartition("query_id").sortWithinPartitions("query_id", F.asc_nulls_last("rank"), F.asc_nulls_last("id"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, rest, placed = (), budget, 0  # no query yet; a null one is None
+        for batch in batches:
+            ids, tokens = batch.column("query_id"), batch.column("tokens").to_numpy(zero_copy_only=False)
+            known, value = ids.is_valid().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+            changes = np.flatnonzero((known[1:] != known[:-1]) | (value[1:] != value[:-1])) + 1
+            kept = []
+            for start, end in zip([0, *changes], [*changes, len(tokens)]):
+                if start < end and (mine := ids[int(start)].as_py()) != query:
+                    query, rest, placed = mine, budget, 0
+                while placed < blocks and (fit := tokens[start:end] <= rest).any():
+                    start += int(fit.argmax())
+                    kept.append(start)
+                    rest -= tokens[start]
+                    start, placed = start + 1, placed + 1
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return walk.mapInArrow(fill, "query_id long, id string, rank long, tokens long")

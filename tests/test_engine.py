@@ -137,6 +137,24 @@ def test_retrieval(spark):
     assert got[1].precision == 0.5 and got[1].recall == 0.5 and got[1].reciprocal_rank == 0.5 and got[1].average_precision == 0.25 and got[2].ndcg == 0
 
 
+def test_packing_reads_all_candidates(spark):
+    rng = random.Random(6)
+    # the hot query has more candidates than an Arrow batch; its small texts stand at the end
+    rows = [(1, f"h{i:05}", f"t{i} " + "w " * (900 if i < 23_000 else 40), i) for i in range(23_050)]
+    rows += [(q, f"{q}-{i}", f"t{i} " + "v " * rng.randrange(1, 1500), rng.choice([i, i, 7, None])) for q in (None, 0, 2**60, 2**60 + 1) for i in range(700)]
+    want = set()
+    for query in {r[0] for r in rows}:
+        rest, placed = 5000, 0
+        for q, i, t, rank in sorted((r for r in rows if r[0] == query), key=lambda r: (r[3] is None, r[3] or 0, r[1])):
+            n = len(t.split()) + -(-len(t.split()[0]) // 4) - 1
+            if placed < 20 and n <= rest:
+                rest, placed = rest - n, placed + 1
+                want.add((q, i, rank, n))
+    packed = retrieval.pack_context(spark.createDataFrame(rows, "query_id long, id string, text string, rank int")).collect()
+    assert len(packed) == len(want) and {tuple(r) for r in packed} == want and max(r.id for r in packed if r.query_id == 1) > "h23000"
+    assert retrieval.pack_context(spark.createDataFrame([], "query_id long, id string, text string, rank int")).count() == 0
+
+
 def test_graph_first_path_wins(spark):
     e = spark.createDataFrame([("a", "b", 2, 0.5), ("a", "c", 1, 1.0), ("b", "d", 3, 1.0), ("c", "d", 4, 0.1)], "start string, end string, seq long, confidence double")
     got = {r.node: (r.hop, r.confidence) for r in graph.traverse(e, spark.createDataFrame([("a",)], "node string"), 2, decay=1.0).collect()}
