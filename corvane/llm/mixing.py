@@ -72,6 +72,29 @@ def rake(cells: pd.DataFrame, marginals: dict[str, dict[str, float]], total: flo
     return copies
 
 
+def _largest(cells: pd.DataFrame, marginals: dict[str, dict[str, float]], caps: dict[str, float]) -> float:
+    """The largest total at which raking meets the marginals with all caps kept.
+
+    Where they contradict each other at any size, the largest one at which no cap binds.
+    """
+    tokens, cap = cells["tokens"].to_numpy(float), cells["source"].map(caps).to_numpy(float)
+    groups = [((cells[k] == v).to_numpy(), share) for k, shares in marginals.items() for v, share in shares.items()]
+
+    def met(total: float) -> bool:
+        mass = rake(cells, marginals, total, caps) * tokens
+        return all(abs(mass[rows].sum() - share * total) <= 1e-3 * share * total for rows, share in groups)
+
+    free = rake(cells, marginals, 1.0, dict.fromkeys(caps, np.inf))
+    low = float((cap[free > 0] / free[free > 0]).min(initial=np.inf))
+    high = min((cap[rows] * tokens[rows]).sum() / share for rows, share in groups)
+    if not np.isfinite(low) or low >= high or not met(low):
+        return min(low, high)
+    for _ in range(20):
+        middle = (low + high) / 2
+        low, high = (middle, high) if met(middle) else (low, middle)
+    return low
+
+
 def _thresholds(extra: float, bins: list[tuple[int, int]]) -> tuple[int, float]:
     """(whole bins, tokens still wanted) of bins taken from the smallest hash on until ``extra`` tokens are reached."""
     have = 0
@@ -82,7 +105,7 @@ def _thresholds(extra: float, bins: list[tuple[int, int]]) -> tuple[int, float]:
     return _BINS, 0.0
 
 
-def mix(documents: DataFrame, targets: DataFrame, *, vocabulary: str = DEFAULT_VOCABULARY, total_tokens: float | None = None, seed: int = 17, max_cells: int = 100_000) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, *, vocabulary: str = DEFAULT_VOCABULARY, total_tokens: float | None = None, seed: int = 17, max_cells: int = 100_000, languages: dict[str, float] | None = None, topics: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
     """(mixture, report).
 
     mixture: (doc_id, source, lang, topic, tokens, copies), one row per drawn document with its number of copies.
@@ -93,12 +116,20 @@ def mix(documents: DataFrame, targets: DataFrame, *, vocabulary: str = DEFAULT_V
     cap fall short and the report says so. Documents without a target, of a null source or without tokens aren't
     drawn; null languages and topics form a group of their own. A target without documents reaches 0. Targets whose
     shares don't add up to 1 are scaled. Repeated rows of a document are drawn alike.
+
+    ``languages`` and ``topics`` are target shares by value (``unknown`` for null), for which the cells are raked too;
+    documents of other languages or topics aren't drawn, and where such targets contradict the sources' these hold.
+    Without them languages and topics keep the shares that the sources bring along: then the source alone has an
+    effect, unless ``total_tokens`` makes caps bind.
     """
     spark = documents.sparkSession
     goal = targets.where("source is not null and target_share > 0").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).toPandas()  # one row per source
     goal["share"] = goal["target_share"] / max(goal["target_share"].sum(), 1e-300)
     known = documents.join(targets.where("source is not null and target_share > 0").select("source").distinct(), "source", "left_semi").where("doc_id is not null")
     sized = materialize(with_tokens(known.withColumns({"topic": F.coalesce("document_type", F.lit("unknown")), "lang": F.coalesce("lang", F.lit("unknown"))}), vocabulary), "sized")
+    asked = {k: {v: float(x) for v, x in t.items() if x > 0} for k, t in (("lang", languages), ("topic", topics)) if t is not None}
+    for k, t in asked.items():
+        sized = sized.where(F.col(k).isin(*t))
     sized = sized.where("tokens > 0").withColumn("_h", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(_BINS * _BINS)))
     binned = materialize(sized.groupBy("source", "lang", "topic", F.floor(F.col("_h") / _BINS).alias("bin")).agg(F.sum("tokens").alias("tokens")), "bins")
     cells = binned.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).limit(max_cells + 1).toPandas()
@@ -108,14 +139,21 @@ def mix(documents: DataFrame, targets: DataFrame, *, vocabulary: str = DEFAULT_V
     available = cells.groupby("source")["tokens"].sum().to_dict()
     caps = dict(zip(goal["source"], goal["max_repeats"].astype(float)))
     present = goal[goal["source"].isin(available)]
-    if total_tokens is None:
-        total = min((available[s] * caps[s] / share for s, share in zip(present["source"], present["share"])), default=0.0)
-    else:
-        total = float(total_tokens)
-    # languages and topics keep the shares that the sources bring with them at their target shares
+    # without targets, languages and topics keep the shares that the sources bring with them at their target shares
     cells["brought"] = cells["tokens"] * cells["source"].map({s: share / available[s] for s, share in zip(present["source"], present["share"])})
     marginals = {k: (cells.groupby(k)["brought"].sum() / max(cells["brought"].sum(), 1e-300)).to_dict() for k in ("lang", "topic")}
+    for k, t in asked.items():
+        there = {v: share for v, share in t.items() if v in marginals[k]}
+        marginals[k] = {v: share / sum(there.values()) * present["share"].sum() for v, share in there.items()}
+    if asked:  # what has no target of its own is free
+        marginals |= {k: {} for k in ("lang", "topic") if k not in asked}
     marginals["source"] = dict(zip(present["source"], present["share"]))
+    if total_tokens is not None:
+        total = float(total_tokens)
+    elif asked and len(cells):
+        total = _largest(cells, marginals, caps)
+    else:
+        total = min((available[s] * caps[s] / share for s, share in zip(present["source"], present["share"])), default=0.0)
     cells["copies"] = rake(cells, marginals, total, caps) if len(cells) else []
     cells["base"] = np.floor(cells["copies"] + 1e-9).astype("int64") if len(cells) else []
     cells["extra"] = (cells["copies"] - cells["base"]).clip(lower=0) * cells["tokens"] if len(cells) else []
@@ -138,6 +176,8 @@ def mix(documents: DataFrame, targets: DataFrame, *, vocabulary: str = DEFAULT_V
     for r in cells.itertuples():  # what a cell's last document misses or exceeds goes to the source's next cell
         carry = carry if r.source == source else 0.0
         source = r.source
+        if r.base >= caps[r.source]:  # at its cap a cell can't take over any
+            continue
         have, wanted = 0.0, r.rest + carry
         for f, tokens in fine_bins.get((r.source, r.lang, r.topic), ()):
             if abs(have + tokens - wanted) > abs(have - wanted):

@@ -125,6 +125,26 @@ def test_mixture_reaches_targets(spark):
     assert m.count() == 0 and {x.reached_share for x in empty.collect()} == {0.0}
 
 
+def test_mixture_reaches_targets_of_languages_and_topics(spark):
+    rng = random.Random(9)
+    rows = [(i, TEXT * rng.randrange(1, 6), rng.choice(["en", "en", "en", "de", "fr", None]), rng.choices(["big", "mid"], [80, 20])[0], rng.choice(["x", "x", "y", None])) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, document_type string")
+    targets = spark.createDataFrame([("big", 0.5, 2), ("mid", 0.5, 3)], "source string, target_share double, max_repeats long")
+    languages, topics = {"en": 0.4, "de": 0.5, "unknown": 0.1, "absent": 0.0}, {"x": 3, "y": 5, "unknown": 2}
+    for total in (None, 40_000):
+        mixture, report = mixing.mix(docs, targets, total_tokens=total, languages=languages, topics=topics)
+        got = mixture.toPandas()
+        got["mass"] = got["tokens"] * got["copies"]
+        assert "fr" not in set(got["lang"]) and (got["copies"] <= got["source"].map({"big": 2, "mid": 3})).all()
+        for k, shares in (("lang", languages), ("topic", topics), ("source", {"big": 1, "mid": 1})):
+            for v, share in shares.items():
+                assert abs(got[got[k] == v]["mass"].sum() / got["mass"].sum() - share / sum(shares.values())) < 0.02
+        assert total is None or abs(got["mass"].sum() / total - 1) < 0.02
+    only = mixing.mix(docs, targets, languages={"de": 1.0})[0].toPandas()
+    assert set(only["lang"]) == {"de"} and set(only["topic"]) == {"x", "y", "unknown"}
+    assert mixing.mix(docs, targets, languages={"absent": 1.0})[0].count() == 0
+
+
 def test_raking_meets_marginals():
     cells = pd.DataFrame([(s, la, t, 1000 + 37 * i) for i, (s, la, t) in enumerate((s, la, t) for s in "ab" for la in ("en", "de") for t in "xyz")], columns=["source", "lang", "topic", "tokens"])
     marginals = {"lang": {"en": 0.7, "de": 0.3}, "topic": {"x": 0.5, "y": 0.25, "z": 0.25}, "source": {"a": 0.8, "b": 0.2}}
