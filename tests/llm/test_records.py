@@ -81,6 +81,16 @@ def test_hot_name_keeps_changed_records(spark):
     assert {(2 * k, 2 * k + 1) for k in range(80)} <= pairs
 
 
+def test_equal_records_are_scored(spark):
+    """Equal records with a name and a telephone number are one person, those with nothing but a name aren't compared."""
+    rows, _ = population()
+    for source in ("one", "two"):
+        rows += [person(f"p-{source}", source, "Alderby", "Ada", None, "2015550999", None, None), person(f"n-{source}", source, "Larkwick", "Hugo", None, None, None, None)]
+        rows += [person(f"full-{source}", source, "Tarnvane", "Zoe", dt.date(1980, 5, 5), "2015550888", "7 Elm Road", "55555")]
+    got = {(r.record_id_a, r.record_id_b): r.confidence for r in linkage.match_records(spark.createDataFrame(rows, PERSON)).collect()}
+    assert 0.5 <= got["p-one", "p-two"] <= 1 and got["full-one", "full-two"] == 1 and ("n-one", "n-two") not in got
+
+
 def test_nulls_and_empty(spark):
     rows = [("a", None, None, None, None, None, None, None, None, None), (None, "one", [("official", "X", ["Y"])], None, None, None, None, None, None, None), ("b", "two", [], None, None, [], [], None, None, None), ("c", "two", [(None, None, None)], None, "", [(None, None, None)], [(None, None)], None, None, None)]
     assert linkage.match_records(spark.createDataFrame(rows, PERSON)).count() == 0
