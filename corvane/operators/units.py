@@ -162,7 +162,7 @@ def segmentations(text: str, free: bool = False) -> tuple[tuple[float, Fraction,
         atoms = _atoms(s, at) if boundary else []
         word = re.compile(r"[^\W\d_]+\.?").match(s, at)
         op = _OPERATORS.match(s, at)
-        for (phase, sign, size, dim, offset), cost in sorted(best[at].items(), key=lambda x: x[1])[:200]:
+        for (phase, sign, size, dim, offset), cost in sorted(best[at].items(), key=lambda x: x[1]):
             if phase < 2:
                 for end, c, value, d, o in atoms:
                     new = tuple(a + sign * b for a, b in zip(dim, d))

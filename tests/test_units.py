@@ -66,3 +66,7 @@ def test_every_unit_of_the_data_is_read():
     for unit, common, mass in o[["unit", "common_unit", "molar_mass"]].dropna(subset=["unit"]).drop_duplicates().itertuples(index=False):
         assert conversion(unit, common, mass, False), (unit, common)
     assert not re.search("[^0-9]", "1")
+
+
+def test_many_readings_before_the_unit_keep_it():
+    assert segmentations("mg/dL")[0][1:3] in {r[1:3] for r in segmentations("g m s h L g m s h L g m s K in mg/dL", free=True)}
