@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -244,7 +244,8 @@ def convert_quantities(facts: DataFrame, code_unit: DataFrame, passthrough: list
     ``facts`` needs code_key, value, unit, value_text; further columns of ``passthrough`` are kept, others
     are not read. Adds ``number`` (value as sent), ``milli`` (in the common unit times 1000, half up), ``same``
     (unit of the same size) and ``from_text`` (the unit stands only in value_text). Rows whose value, unit
-    or code is missing or can't be read are left out: nulls, blank units, codes without a common unit.
+    or code is missing or can't be read are left out: nulls, NaN, infinities, blank units, codes without a common
+    unit, and results beyond 64 bits. Values keep all their digits, however small or large they are.
     Repeated rows stay repeated. An empty table gives an empty result.
     """
     blank = F.col("unit").isNull() | (F.trim("unit") == "")
@@ -255,7 +256,7 @@ def convert_quantities(facts: DataFrame, code_unit: DataFrame, passthrough: list
         F.when(~blank, F.col("unit")).otherwise(
             F.when(F.col("value").isNotNull(), text).otherwise(F.regexp_replace(text, rf"^(.*?)(?<![\d.,])(?:{_NUMBER})(?:(?=\s*[x×]?\s*10[\^*])|(?![\^*\d]))", "$1 "))
         ).alias("_unit"),
-    ).where(F.col("number").isNotNull() & F.col("_unit").isNotNull())
+    ).where(F.col("number").isNotNull() & ~F.isnan("number") & (F.abs("number") < float("inf")) & F.col("_unit").isNotNull())
     known = base.select("_code", "_unit", "from_text").distinct().join(code_unit.select(F.col("code_key").alias("_code"), "common_unit", "molar_mass"), "_code")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,12 +271,29 @@ def convert_quantities(facts: DataFrame, code_unit: DataFrame, passthrough: list
     rules = known.select(F.col("_code").alias("code"), F.col("_unit").alias("unit_text"), "from_text", "common_unit", "molar_mass").mapInPandas(
         parse, "_code string, _unit string, from_text boolean, _a long, _b long, _d long, same boolean"
     )
-    scaled = (F.col("number").cast("decimal(20,8)") * F.lit(10**8).cast("decimal(9,0)")).cast("decimal(20,0)")
-    top = (scaled * F.col("_a").cast("decimal(18,0)") + F.col("_b").cast("decimal(18,0)") * F.lit(10**8).cast("decimal(9,0)")) * F.lit(2000).cast("decimal(4,0)")
-    below = F.col("_d").cast("decimal(18,0)") * F.lit(10**8).cast("decimal(9,0)")
-    out = base.join(rules, ["_code", "_unit", "from_text"]).select(*passthrough, "number", "same", "from_text", (top + below).alias("_n"), (below * F.lit(2).cast("decimal(1,0)")).alias("_m"))
-    quotient = F.expr("_n div _m - if(_n < 0 and _n % _m <> 0, 1, 0)")
-    return out.select(*passthrough, "number", "same", "from_text", quotient.cast("long").alias("milli"))
+    # the shortest decimal form of the double: its digits as a whole number and the power of ten they are divided by
+    text_form = F.abs("number").cast("string")
+    mantissa = F.split_part(text_form, F.lit("E"), F.lit(1))
+    scale = F.length(F.split_part(mantissa, F.lit("."), F.lit(2))) - F.coalesce(F.nullif(F.split_part(text_form, F.lit("E"), F.lit(2)), F.lit("")).try_cast("int"), F.lit(0))
+    digits = F.replace(mantissa, F.lit("."), F.lit("")).try_cast("decimal(20,0)") * F.when(F.col("number") < 0, -1).otherwise(1).cast("decimal(1,0)")
+    joined = base.join(rules, ["_code", "_unit", "from_text"]).select(*passthrough, "number", "same", "from_text", "_a", "_b", "_d", digits.alias("_digits"), scale.alias("_scale"))
+
+    def power(exponent: Column) -> Column:
+        return F.rpad(F.lit("1"), F.greatest(exponent, F.lit(0)) + 1, "0").try_cast("decimal(38,0)")
+
+    def times(*factors: Column) -> Column:  # null where 38 digits don't hold the product
+        return reduce(F.try_multiply, factors)
+
+    a, b, d = (F.col(c).cast("decimal(18,0)") for c in ("_a", "_b", "_d"))
+    two_thousand = F.lit(2000).cast("decimal(4,0)")
+    below = times(d, power(F.col("_scale")))
+    top = F.try_add(F.try_add(times(F.col("_digits"), power(-F.col("_scale")), a, two_thousand), times(b, power(F.col("_scale")), two_thousand)), below)
+    out = joined.withColumns({"_n": top, "_m": times(below, F.lit(2).cast("decimal(1,0)"))})
+    exact = F.expr("_n div _m - if(_n < 0 and _n % _m <> 0, 1, 0)")
+    rounded = F.floor((F.col("_a") * F.col("number") + F.col("_b")) / F.col("_d") * 1000 + 0.5)  # of 15 digits, beyond 38
+    quotient = F.when(F.col("_n").isNotNull() & F.col("_m").isNotNull(), exact).otherwise(F.when(F.abs("number") < 1e300, rounded))
+    out = out.withColumn("milli", quotient.try_cast("long")).where("milli is not null")
+    return out.select(*passthrough, "number", "same", "from_text", "milli")
 
 
 def observations_to_convert(facts: DataFrame, code_unit: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
 """Exactly one copy of messages that were delivered at least once.
 
-A Structured Streaming query keeps the identifiers it has seen in Spark's state store. The store is keyed
-by hash buckets of the identifier, so that one call merges a whole bucket with vectorised code and a hot
-identifier never meets one task: before the shuffle every Arrow batch already settles its own repetitions.
-Identifiers older than the event-time watermark leave the state. Each first copy that the state accepts
-is also written out, which is the look-up for arrivals so late that their identifier had left the state.
-Input offsets, state and output commit together through the checkpoint and the file sink's log, so that a
+Two Structured Streaming queries. The first reads identifiers from new deliveries and appends them to an
+arrival log; repetitions within one Arrow batch are settled there, so that a hot identifier is one row per
+batch afterwards. The second keeps the identifiers seen, one entry each, in Spark's keyed state store and lets
+through one copy of each; entries leave the state when the event-time watermark passes them by the horizon.
+Offsets, state and output of each query commit together through its checkpoint and the file sink's log, so a
 restarted query neither loses nor repeats a row.
+
+What the state did not let through, and what came in after its entry may have expired, is looked up among the
+copies let through, by a join on the keys of these arrivals only: a copy that is earlier by its time of receipt
+takes the place of the one let through.
 """
 
 from __future__ import annotations
@@ -17,96 +20,71 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.messages import identify
-from ..session import fresh_path
+from ..session import fresh_path, materialize
 
 _ROW = "key string, received long, delivery long, kind string"
-_STATE = "keys array<string>, received array<bigint>, delivery array<bigint>, watermark bigint"
-_PASSED = -1
+#: Stands for a missing time of receipt, before all others.
+_NEVER = -62_135_596_800_000_000
 
 
 def _settle_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per Arrow batch the earliest copy of each identifier goes on; the others are surplus already."""
+    """Per Arrow batch the earliest copy of each identifier is a candidate; the others are surplus already."""
     for pdf in batches:
-        pdf = pdf.sort_values(["received", "delivery"], kind="stable")
-        again = pdf.duplicated("key")
-        pdf = pdf.assign(kind=np.where(again, "surplus", "first"))
-        # settled rows are spread over negative buckets, which keep no state
-        spread = _PASSED - pdf["delivery"].to_numpy() % 64
-        pdf["bucket"] = np.where(again, spread, pdf["bucket"].to_numpy())
-        yield pdf[["bucket", "key", "received", "delivery", "kind"]]
-
-
-def _merge_bucket(horizon_us: int):
-    def merge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(batches), ignore_index=True)
-        if key[0] < 0:
-            yield new[["key", "received", "delivery", "kind"]]
-            return
-        if state.exists:
-            keys, received, delivery, watermark = state.get
-            held = pd.DataFrame({"key": list(keys), "received": np.array(received, np.int64), "delivery": np.array(delivery, np.int64)})
-        else:
-            held, watermark = pd.DataFrame({"key": pd.Series([], dtype=object), "received": np.zeros(0, np.int64), "delivery": np.zeros(0, np.int64)}), None
-        both = pd.concat([held.assign(held=True), new[["key", "received", "delivery"]].assign(held=False)], ignore_index=True)
-        both = both.sort_values(["received", "delivery", "held"], ascending=[True, True, False], kind="stable")
-        loses = both.duplicated("key")
-        kept = both[~loses]
-        # a held copy that an earlier delivery replaces is surplus as well as every later copy
-        surplus = both[loses]
-        surplus = surplus.assign(kind="surplus")
-        first = kept[~kept["held"]].assign(kind="first")
-        top = int(both["received"].max()) - horizon_us
-        watermark = top if watermark is None else max(watermark, top)
-        live = kept[kept["received"] >= watermark]
-        state.update((live["key"].tolist(), live["received"].tolist(), live["delivery"].tolist(), watermark))
-        out = pd.concat([surplus, first])
-        yield out[["key", "received", "delivery", "kind"]]
-
-    return merge
+        pdf = pdf.sort_values(["received", "delivery"], kind="stable").drop_duplicates(["key", "delivery"])  # a repeated row isn't a second delivery
+        yield pdf.assign(kind=np.where(pdf.duplicated("key"), "surplus", "candidate"))[["key", "received", "delivery", "kind"]]
+
+
+def _run(stream: DataFrame, out: str, checkpoint: str) -> None:
+    stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start(out).awaitTermination()
 
 
 def deduplicate_stream(
-    spark: SparkSession, path: str, mapping: DataFrame, *, out: str | None = None, checkpoint: str | None = None, buckets: int | None = None,
+    spark: SparkSession, path: str, mapping: DataFrame, *, out: str | None = None, checkpoint: str | None = None,
     horizon: int = 400 * 86_400, files_per_trigger: int | None = None,
 ) -> DataFrame:
     """(delivery_id, key, kind) of all deliveries with an identifier in the Parquet files at ``path``; kind is ``first`` or ``surplus``.
 
     Of each identifier, the copy first by received_at, then delivery_id, is ``first``. ``horizon`` is how many
-    seconds of event time the state remembers; copies further apart are settled by the look-up of written first
-    copies, so the result doesn't depend on it, nor on the order or split of files. Rows with a null
-    received_at come before all others. Messages without header or identifier are left out. Running it again
-    with the same ``out`` and ``checkpoint`` takes up new files only.
+    seconds of event time the state remembers an identifier; later and earlier copies are looked up among those
+    let through, so no copy is lost or kept twice, whatever the order or split of files. Rows with a null
+    received_at come before all others. Messages without header or identifier are left out; a repeated row of one
+    delivery counts once. Running it again with the same ``out`` and ``checkpoint`` takes up new files only.
     """
     base = fresh_path(spark, "seen")
     out, checkpoint = out or f"{base}/out", checkpoint or f"{base}/checkpoint"
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    arrivals, passed = f"{out}/arrivals", f"{out}/passed"
+
+    def reader(schema):
+        r = spark.readStream.schema(schema)
+        return r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r
+
     # as a pattern, the path may also be a single file
-    known = identify(reader.parquet(f"{path[:-1]}[{path[-1]}]").select("delivery_id", "received_at", "raw"), mapping).where(F.col("identifier").isNotNull() & F.col("delivery_id").isNotNull())
-    key = F.to_json(F.struct("message_type", "facility", "identifier"))
+    source = reader(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]").select("delivery_id", "received_at", "raw")
+    known = identify(source, mapping).where(F.col("identifier").isNotNull() & F.col("delivery_id").isNotNull())
     rows = known.select(
-        F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), key.alias("key"),
-        F.coalesce(F.unix_micros(F.col("received_at").cast("timestamp")), F.lit(-(2**62))).alias("received"), F.col("delivery_id").cast("long").alias("delivery"),
+        F.to_json(F.struct("message_type", "facility", "identifier")).alias("key"),
+        F.coalesce(F.unix_micros(F.col("received_at").cast("timestamp")), F.lit(_NEVER)).alias("received"), F.col("delivery_id").cast("long").alias("delivery"),
     )
-    settled = rows.mapInPandas(_settle_batch, "bucket long, key string, received long, delivery long, kind string")
-    merged = settled.groupBy("bucket").applyInPandasWithState(_merge_bucket(horizon * 1_000_000), _ROW, _STATE, "append", GroupStateTimeout.NoTimeout)
-    query = merged.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start(out)
-    query.awaitTermination()
-    found = spark.read.schema(_ROW).parquet(out)
-    # look-up: of several accepted copies of one identifier the earliest stays
-    copies = found.where("kind = 'first'").select("key", F.struct("received", "delivery").alias("copy"))
-    kept = copies.groupBy("key").agg(F.min("copy").alias("kept"))
-    first = kept.select(F.col("kept.delivery").alias("delivery_id"), "key", F.lit("first").alias("kind"))
-    repeated = copies.groupBy("key").agg(F.min("copy").alias("kept"), F.count("*").alias("n")).where("n > 1")
-    late = copies.join(repeated, "key").where(F.col("copy") != F.col("kept")).select(F.col("copy.delivery").alias("delivery_id"), "key", F.lit("surplus").alias("kind"))
-    surplus = found.where("kind = 'surplus'").select(F.col("delivery").alias("delivery_id"), "key", "kind")
-    return first.unionByName(surplus.unionByName(late).distinct())
+    _run(rows.mapInPandas(_settle_batch, _ROW), arrivals, f"{checkpoint}/arrivals")
+    candidates = reader(_ROW).parquet(arrivals).where("kind = 'candidate'")
+    timed = candidates.withColumn("at", F.timestamp_micros("received")).withWatermark("at", f"{horizon} seconds")
+    _run(timed.dropDuplicatesWithinWatermark(["key"]).select("key", "received", "delivery"), passed, f"{checkpoint}/passed")
+
+    log, accepted = spark.read.schema(_ROW).parquet(arrivals), spark.read.schema("key string, received long, delivery long").parquet(passed)
+    # an identifier passes twice only if its copies lie the horizon apart, so no earlier than that after the first of all
+    oldest = accepted.agg(F.min("received")).first()[0]
+    again = accepted.where(F.col("received") >= F.lit(oldest if oldest is None else oldest + horizon * 1_000_000))
+    held_back = log.where("kind = 'candidate'").drop("kind").join(accepted.select("delivery", "key"), ["delivery", "key"], "left_anti")
+    asked = materialize(held_back.select("key", "received", "delivery").union(again.select("key", "received", "delivery")), "asked")
+    keys = asked.select("key").distinct()
+    contested = asked.union(accepted.join(keys, "key", "left_semi").select("key", "received", "delivery"))
+    kept = contested.groupBy("key").agg(F.min(F.struct("received", "delivery")).alias("kept"))
+    settled = contested.join(kept, "key").select(F.col("delivery").alias("delivery_id"), "key", F.when(F.col("delivery") == F.col("kept.delivery"), "first").otherwise("surplus").alias("kind"))
+    alone = accepted.join(keys, "key", "left_anti").select(F.col("delivery").alias("delivery_id"), "key", F.lit("first").alias("kind"))
+    surplus = log.where("kind = 'surplus'").select(F.col("delivery").alias("delivery_id"), "key", "kind")
+    return settled.distinct().unionByName(alone.distinct()).unionByName(surplus.distinct()).distinct()
 
 
 def surplus_deliveries(spark: SparkSession, path: str, mapping: DataFrame) -> DataFrame:

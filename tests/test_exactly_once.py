@@ -64,3 +64,20 @@ def test_identifiers_replace_columns_of_the_same_name(spark, mapping):
     rows = spark.createDataFrame([(1, None, message("ADT", "c1"), "old", "old"), (2, None, "x", None, None)], MSG)
     got = {r.delivery_id: (r.message_type, r.facility, r.identifier) for r in identify(rows, mapping).collect()}
     assert got == {1: ("ADT", "F", "c1"), 2: (None, None, None)}
+
+
+def test_idle_identifiers_leave_the_state(spark, tmp_path, mapping):
+    t = datetime(2026, 1, 1)
+    batches = [[(10 * n + i, t + timedelta(days=n), message("ADT", f"day{n}-{i}"), None, None) for i in range(10)] for n in range(6)]
+    batches.append([(99, t, message("ADT", "day0-3"), None, None), (98, t + timedelta(days=6), message("ADT", "day1-1"), None, None)])  # after their identifiers expired
+    kw = {"out": str(tmp_path / "out"), "checkpoint": str(tmp_path / "cp"), "horizon": 86_400, "files_per_trigger": 1}
+    surplus, first = run(spark, tmp_path, batches, mapping, **kw)
+    assert surplus == {99, 98} and len(first) == 60
+    state = spark.read.format("statestore").load(str(tmp_path / "cp/passed"))
+    assert 0 < state.count() <= 30  # of 60 identifiers
+
+
+def test_repeated_rows_of_a_delivery(spark, tmp_path, mapping):
+    t = datetime(2026, 1, 1)
+    row = (1, t, message("ADT", "a"), None, None)
+    assert run(spark, tmp_path, [[row, row], [row, (2, t, message("ADT", "a"), None, None)]], mapping) == ({2}, {1})

@@ -70,3 +70,13 @@ def test_every_unit_of_the_data_is_read():
 
 def test_many_readings_before_the_unit_keep_it():
     assert segmentations("mg/dL")[0][1:3] in {r[1:3] for r in segmentations("g m s h L g m s h L g m s K in mg/dL", free=True)}
+
+
+def test_values_of_any_size_keep_their_digits(spark):
+    codes = spark.createDataFrame([("u", "umol/L", 100.0), ("w", "kg", None), ("t", "Cel", None)], CODES)
+    rows = [
+        ("small", "u", 8.8437e-5, "mol/L", None, None), ("large", "w", 1e13, "g", None, None), ("beyond", "w", 1e300, "g", None, None), ("nan", "w", float("nan"), "g", None, None),
+        ("inf", "w", float("-inf"), "g", None, None), ("negative", "w", -1.5e-3, "t", None, None), ("tiny", "u", 1e-30, "mol/L", None, None), ("cold", "t", -40.0, "[degF]", None, None), ("long", "w", 123456789012.34567, "g", None, None),
+    ]
+    got = {r.observation_key: r.value_milli for r in observations_to_convert(spark.createDataFrame(rows, FACTS), codes).collect()}
+    assert got == {"small": 88437, "large": 10**13, "negative": -1500, "tiny": 0, "cold": -40000, "long": 123456789012}
