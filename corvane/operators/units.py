@@ -271,12 +271,23 @@ def convert_quantities(facts: DataFrame, code_unit: DataFrame, passthrough: list
     rules = known.select(F.col("_code").alias("code"), F.col("_unit").alias("unit_text"), "from_text", "common_unit", "molar_mass").mapInPandas(
         parse, "_code string, _unit string, from_text boolean, _a long, _b long, _d long, same boolean"
     )
-    # the shortest decimal form of the double: its digits as a whole number and the power of ten they are divided by
+    a, b, d = (F.col(c).cast("decimal(18,0)") for c in ("_a", "_b", "_d"))
+    eight, two, two_thousand = F.lit(10**8).cast("decimal(9,0)"), F.lit(2).cast("decimal(1,0)"), F.lit(2000).cast("decimal(4,0)")
+    joined = base.join(rules, ["_code", "_unit", "from_text"]).select(*passthrough, "number", "same", "from_text", "_a", "_b", "_d", F.col("number").try_cast("decimal(20,8)").alias("_short"))
+
+    def divided(n: Column, m: Column) -> Column:
+        """Half up, given twice the numerator plus the denominator, and twice the denominator."""
+        q = F.call_function("div", n, m)
+        return q - F.when((n < 0) & (n % m != 0), 1).otherwise(0)
+
+    # nearly all values have at most eight decimals
+    scaled = (F.col("_short") * eight).cast("decimal(20,0)")
+    usual = divided((scaled * a + b * eight) * two_thousand + d * eight, d * eight * two)
+    # the others: the digits of the shortest decimal form as a whole number, and the power of ten they are divided by
     text_form = F.abs("number").cast("string")
     mantissa = F.split_part(text_form, F.lit("E"), F.lit(1))
     scale = F.length(F.split_part(mantissa, F.lit("."), F.lit(2))) - F.coalesce(F.nullif(F.split_part(text_form, F.lit("E"), F.lit(2)), F.lit("")).try_cast("int"), F.lit(0))
     digits = F.replace(mantissa, F.lit("."), F.lit("")).try_cast("decimal(20,0)") * F.when(F.col("number") < 0, -1).otherwise(1).cast("decimal(1,0)")
-    joined = base.join(rules, ["_code", "_unit", "from_text"]).select(*passthrough, "number", "same", "from_text", "_a", "_b", "_d", digits.alias("_digits"), scale.alias("_scale"))
 
     def power(exponent: Column) -> Column:
         return F.rpad(F.lit("1"), F.greatest(exponent, F.lit(0)) + 1, "0").try_cast("decimal(38,0)")
@@ -284,15 +295,12 @@ def convert_quantities(facts: DataFrame, code_unit: DataFrame, passthrough: list
     def times(*factors: Column) -> Column:  # null where 38 digits don't hold the product
         return reduce(F.try_multiply, factors)
 
-    a, b, d = (F.col(c).cast("decimal(18,0)") for c in ("_a", "_b", "_d"))
-    two_thousand = F.lit(2000).cast("decimal(4,0)")
-    below = times(d, power(F.col("_scale")))
-    top = F.try_add(F.try_add(times(F.col("_digits"), power(-F.col("_scale")), a, two_thousand), times(b, power(F.col("_scale")), two_thousand)), below)
-    out = joined.withColumns({"_n": top, "_m": times(below, F.lit(2).cast("decimal(1,0)"))})
-    exact = F.expr("_n div _m - if(_n < 0 and _n % _m <> 0, 1, 0)")
-    rounded = F.floor((F.col("_a") * F.col("number") + F.col("_b")) / F.col("_d") * 1000 + 0.5)  # of 15 digits, beyond 38
-    quotient = F.when(F.col("_n").isNotNull() & F.col("_m").isNotNull(), exact).otherwise(F.when(F.abs("number") < 1e300, rounded))
-    out = out.withColumn("milli", quotient.try_cast("long")).where("milli is not null")
+    below = times(d, power(scale))
+    top = F.try_add(F.try_add(times(digits, power(-scale), a, two_thousand), times(b, power(scale), two_thousand)), below)
+    rounded = F.when(F.abs("number") < 1e300, F.floor((F.col("_a") * F.col("number") + F.col("_b")) / F.col("_d") * 1000 + 0.5))  # of 15 digits
+    short = F.col("_short").isNotNull() & (F.abs("number") < 1e11) & (F.col("_short").cast("double") == F.col("number"))
+    milli = F.when(short, usual.try_cast("long")).otherwise(F.coalesce(divided(top, times(below, two)).try_cast("long"), rounded.try_cast("long")))
+    out = joined.withColumn("milli", milli).where("milli is not null")
     return out.select(*passthrough, "number", "same", "from_text", "milli")
 
 
