@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.components import connected_components, match_links
 from ..operators.parsing import load_import_lines, unreadable
 from ..operators.units import observations_to_convert
 from ..session import table
@@ -31,11 +30,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surplus_deliveries(spark, f"{sf_dir}/hl7_message.parquet", table(spark, sf_dir, "resource_mapping"))
 
 
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected_components(match_links(table(spark, sf_dir, "match_score")), "left_record_id", "right_record_id")
-
-
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_import_report, p6_found, p7_found)}
+QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_import_report, p6_found)}
 
 SQL = {
     "p6_found": r"""
@@ -49,12 +44,5 @@ i AS (SELECT *, CASE ty WHEN 'ADT' THEN split_part(m, s, 10)
     WHEN 'ORM' THEN split_part(list_filter(regexp_split_to_array(x, '[\r\n]+'), lambda y: starts_with(y, 'ORC' || s))[1], s, 3) END AS v FROM f),
 j AS (SELECT delivery_id, received_at, ty, fac, trim(split_part(split_part(regexp_replace(v, '[\x0B\x1C]+$', ''), r, 1), c, 1)) AS id FROM i)
 SELECT delivery_id FROM (SELECT delivery_id, row_number() OVER (PARTITION BY ty, fac, id ORDER BY received_at, delivery_id) AS n FROM j WHERE id <> '') WHERE n > 1
-""",
-    "p7_found": """
-WITH RECURSIVE e AS (SELECT left_record_id AS a, right_record_id AS b FROM match_score
-    WHERE left_record_id <> right_record_id AND (lower(trim(zone)) = 'match' OR ((zone IS NULL OR trim(zone) = '') AND total >= 16))),
-s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS record_id, a AS other FROM s UNION SELECT r.record_id, s.b FROM r JOIN s ON r.other = s.a)
-SELECT record_id, min(other) AS group_id FROM r GROUP BY record_id
 """,
 }
