@@ -1,17 +1,20 @@
 """Noise in text from scanned pages.
 
-A noisy-channel model: a read word comes from a true word by character confusions of known probability,
-and true words follow a bigram model counted over the whole corpus. Per line, candidate words are decoded
-by Viterbi. Running headers are lines that recur at page tops across the corpus or within a text; page
-numbers and divided words are found in the line structure.
+A noisy-channel model: a read word comes from a true word by character confusions, and true words follow a
+bigram model counted over the whole corpus. The probabilities of the confusions are estimated from the corpus
+by expectation-maximisation over the words that only scanned texts have. Per line, candidate words are decoded
+by Viterbi. Running headers are lines that recur at page tops across the corpus or within a text, and lines
+there made of the words that such lines are made of; page numbers and divided words are found in the line structure.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-# What a misread piece was in the original, with the probability of that misreading per character.
+# What a misread piece may have been in the original, with the probability that the estimation starts from.
 CONFUSIONS = {
     "0": (("o", 0.002),), "1": (("l", 0.002), ("i", 0.0005)), "5": (("s", 0.002),), "9": (("g", 0.001),), "8": (("b", 0.0005),),
     "6": (("b", 0.0003), ("g", 0.0002)), "ﬁ": (("fi", 0.001),), "ﬂ": (("fl", 0.001),), "ﬀ": (("ff", 0.001),), "†": (("t", 0.001),), "à": (("a", 0.001),), "$": (("s", 0.0005),), "@": (("a", 0.0002),), "|": (("l", 0.0005), ("i", 0.0005)),
@@ -41,8 +44,13 @@ _PAGE = re.compile(r"[-–—\[(\s]*(?:p[a-zà]?[gq9]?[ec]?[.:]?|seite)?\s*(?:[0
 _ROMAN = re.compile(r"(?:x{0,3})(?:ix|iv|v?i{0,3})", re.I)
 _DIVIDED = re.compile(rf"([^\W\d_†]|[^\W_])[{HYPHENS}][ \t]*$")
 _NUMBER_LIKE = re.compile(r"[0-9OoIlSsB|]+(?:[.,:][0-9OoIlSsB|]+)*")
-#: Words of letterheads and of page counters, which mark a header that occurs once.
-_LETTERHEAD = re.compile(r"hospital|infirmary|clinic|institute|medical cent|records office|confidential|\bpage\s+\d+\s*$", re.I)
+_LOWER_WORD = re.compile(r"(?:^|(?<=\s))[a-zà-öø-ÿ]")
+_WRAP_END = re.compile(rf"[^\W_A-Z{{}}†,(/@{HYPHENS}]\s*$|[,{HYPHENS}†(/@]\s*$")
+_WRAP_BEGIN = re.compile(r"\s*[^\W_A-Z†$(]|\s*[†$(]")
+#: Widest line of a wrapped page.
+WRAP_WIDTH = 110
+#: Slots of the pair counts.
+_PAIR_BITS = 22
 
 
 def is_page_number(line: str) -> bool:
@@ -56,11 +64,9 @@ def is_page_number(line: str) -> bool:
     return bool(core) and core.islower() and bool(_ROMAN.fullmatch(core))
 
 
-def is_letterhead(line: str) -> bool:
-    """Whether a line reads like the header of a page: title case or capitals, with a letterhead word and no sentence."""
-    s = line.strip()
-    words = s.split()
-    return bool(s) and len(s) <= 90 and s[-1] not in ".,;:" and bool(_LETTERHEAD.search(s)) and sum(not w[:1].islower() for w in words) >= 0.75 * len(words)
+def is_titled(s: str) -> bool:
+    """Whether a stripped line reads like a header or heading: three quarters of its words don't begin in lower case, and no sentence ends it."""
+    return 0 < len(s) <= 90 and s[-1] not in ".,;:" and s[-1] not in HYPHENS and len(_LOWER_WORD.findall(s)) * 4 <= len(s.split())
 
 
 def fold_line(line: str) -> str:
@@ -73,38 +79,46 @@ def fold_line(line: str) -> str:
     return s.translate(str.maketrans("0o159$†àeihl|", "aalsgstaclbll"))
 
 
+_LINE_END = re.compile(r"\r\n|\n|\r|\x0c")
+
+
 def lines_of(text: str) -> list[tuple[int, str]]:
     """(offset, line) of a text; form feeds end lines too."""
     out, at = [], 0
-    for piece in re.split(r"(\r\n|\n|\r|\x0c)", text):
-        if piece not in ("\r\n", "\n", "\r", "\x0c"):
-            out.append((at, piece))
-        at += len(piece)
+    for m in _LINE_END.finditer(text):
+        out.append((at, text[at : m.start()]))
+        at = m.end()
+    out.append((at, text[at:]))
     return out
 
 
 def is_scanned(text: str) -> bool:
-    """Whether a text is wrapped into lines within its sentences, as a scanned page is."""
-    lines = [s for _, s in lines_of(text) if s.strip()]
-    wraps, longest = 0, 0
-    for a, b in zip(lines, lines[1:]):
-        longest = max(longest, len(a))
-        if len(a.strip()) >= 25 and "|" not in a and re.search(rf"[^\W_A-Z{{}}†,(/@{HYPHENS}]\s*$|[,{HYPHENS}†(/@]\s*$", a) and re.match(r"\s*[^\W_A-Z†$(]|\s*[†$(]", b):
-            wraps += 1
-    longest = max(longest, len(lines[-1]) if lines else 0)
-    return wraps >= 1 and longest <= 110
+    """Whether a text is wrapped into lines within its sentences, as a scanned page is; one line in twenty may be wider than a page."""
+    if "\n" not in text and "\r" not in text and "\x0c" not in text:
+        return False
+    lines = [s for s in _LINE_END.split(text) if s and not s.isspace()]
+    if sum(len(s) > WRAP_WIDTH for s in lines) * 20 > len(lines):
+        return False
+    return any(len(a) >= 25 and "|" not in a and len(a.strip()) >= 25 and _WRAP_BEGIN.match(b) and _WRAP_END.search(a) for a, b in zip(lines, lines[1:]))
+
+
+def pair_slot(before: str, word: str) -> int:
+    """The slot of a pair of words in the table of pair counts."""
+    return crc32(f"{before} {word}".encode()) & ((1 << _PAIR_BITS) - 1)
 
 
 class Corpus:
-    """What the corpus knows: word and bigram counts, and lines that recur at page tops."""
+    """What the corpus knows: word counts, pair counts by slot, lines that recur at page tops, and confusions."""
 
-    def __init__(self, words: dict[str, float], pairs: tuple[np.ndarray, np.ndarray], headers: frozenset[str], headings: frozenset[str]):
-        self.words, self.headers, self.headings = words, headers, headings
-        self.ids = {w: k for k, w in enumerate(words)}
+    def __init__(self, words: dict[str, float], pairs: np.ndarray, headers: frozenset[str], headings: frozenset[str], header_words: frozenset[str], confusions: dict[str, tuple[tuple[str, float], ...]]):
+        self.words, self.headers, self.headings, self.header_words, self.confusions = words, headers, headings, header_words, confusions
+        self.sorted = sorted(words)
         self.total = sum(words.values()) + 1.0
-        self.pair_keys, self.pair_counts = pairs
-        self.cache: dict[tuple[str, bool], list[tuple[str, float]]] = {}
+        self.pairs = pairs
+        self.cache: dict[str, list[tuple[str, float]]] = {}
         self.pair_cache: dict[tuple[str, str], float] = {}
+        self.token_cache: dict[str, tuple] = {}
+        self.fold_cache: dict[str, str] = {}
 
     def unigram(self, word: str) -> float:
         return (self.words.get(word, 0.0) + 0.01) / self.total
@@ -115,52 +129,57 @@ class Corpus:
             return math.log(self.unigram(word))
         if (known := self.pair_cache.get((before, word))) is not None:
             return known
-        base = self.unigram(word)
-        a, b = self.ids.get(before), self.ids.get(word)
-        p = base
-        if a is not None:
-            c = 0.0
-            if b is not None:
-                key = a * len(self.ids) + b
-                k = int(np.searchsorted(self.pair_keys, key))
-                c = float(self.pair_counts[k]) if k < len(self.pair_keys) and self.pair_keys[k] == key else 0
-            p = 0.6 * min(1.0, c / max(self.words[before], 0.05)) + 0.4 * base
+        p = base = self.unigram(word)
+        if (first := self.words.get(before)) is not None:
+            c = float(self.pairs[pair_slot(before, word)]) if word in self.words else 0.0
+            p = 0.6 * min(1.0, c / max(first, 0.05)) + 0.4 * base
         value = math.log(max(p, 1e-12))
         if len(self.pair_cache) > 500_000:
             self.pair_cache.clear()
         self.pair_cache[before, word] = value
         return value
 
+    def begins_word(self, prefix: str) -> bool:
+        k = bisect_left(self.sorted, prefix)
+        return k < len(self.sorted) and self.sorted[k].startswith(prefix)
+
+    def readings(self, low: str) -> dict[str, tuple[float, tuple[tuple[str, str], ...]]]:
+        """Known words other than ``low`` that may stand behind it, with log channel probability and the confusions used."""
+        odd = {k for k, c in enumerate(low) if not c.isalpha() and c not in "-'’" or c in _ODD}
+        known_word = low in self.words
+        limit = 0 if len(low) < 3 and not odd else 1 if known_word else 2
+        found: dict[str, tuple[float, tuple[tuple[str, str], ...]]] = {}
+        if not limit:
+            return found
+        limit = max(limit, len(odd) + (0 if known_word else 1))
+        stack: list[tuple[str, int, tuple[tuple[str, str], ...], float]] = [("", 0, (), 0.0)]
+        while stack:
+            done, at, edits, cost = stack.pop()
+            if at == len(low):
+                if edits and done in self.words and (done not in found or cost > found[done][0]):
+                    found[done] = (cost, edits)
+                continue
+            c = low[at]
+            if at not in odd:
+                stack.append((done + c, at + 1, edits, cost))
+            if len(edits) < limit:
+                for piece in (c, low[at : at + 2]):
+                    for original, p in self.confusions.get(piece, ()):
+                        # only beginnings of known words go on
+                        if (len(piece) == 1 or at + 1 < len(low)) and self.begins_word(done + original):
+                            stack.append((done + original, at + len(piece), (*edits, (piece, original)), cost + math.log(p)))
+        return found
+
     def candidates(self, token: str) -> list[tuple[str, float]]:
         """(lower-case word, log channel probability) that may stand behind a read token."""
         low = token.lower()
         if (known := self.cache.get(low)) is not None:
             return known
         odd = [k for k, c in enumerate(low) if not c.isalpha() and c not in "-'’" or c in _ODD]
-        known_word = low in self.words
-        found: dict[str, float] = {}
-        if not odd:
-            found[low] = 0.0
-        limit = 0 if len(low) < 3 and not odd else 1 if known_word else 2
-        if limit and len(low) <= 40 and len(odd) <= 4:
-            stack = [("", 0, 0, 0.0)]
-            limit = max(limit, len(odd) + (0 if known_word else 1))
-            while stack:
-                done, at, edits, cost = stack.pop()
-                if at == len(low):
-                    if edits and done in self.words and cost > found.get(done, -1e9):
-                        found[done] = cost
-                    continue
-                c = low[at]
-                if at not in odd:
-                    stack.append((done + c, at + 1, edits, cost))
-                if edits < limit:
-                    for piece in (c, low[at : at + 2]):
-                        for original, p in CONFUSIONS.get(piece, ()):
-                            if len(piece) == 1 or at + 1 < len(low):
-                                stack.append((done + original, at + len(piece), edits + 1, cost + math.log(p)))
+        found = {} if odd else {low: 0.0}
+        found |= {w: cost for w, (cost, _) in self.readings(low).items()}
         if odd and not found:  # no known word: the likeliest reading of each odd character
-            guess = "".join(CONFUSIONS[c][0][0] if k in odd and c in CONFUSIONS else c for k, c in enumerate(low))
+            guess = "".join(max(self.confusions[c], key=lambda x: x[1])[0] if k in odd and c in self.confusions else c for k, c in enumerate(low))
             found[guess if _WORD.fullmatch(guess) else low] = 0.0
         out = sorted(found.items(), key=lambda x: -x[1])
         if len(self.cache) > 300_000:
@@ -168,20 +187,51 @@ class Corpus:
         self.cache[low] = out
         return out
 
-    def decode(self, tokens: list[str], before: str | None = None) -> list[str]:
-        """The likeliest lower-case words behind the tokens, by Viterbi."""
-        options = [self.candidates(t) for t in tokens]
-        if all(len(o) == 1 for o in options):
-            return [o[0][0] for o in options]
-        column = {before: (0.0, [])}
-        for k, (token, choices) in enumerate(zip(tokens, options)):
-            new: dict[str | None, tuple[float, list[str]]] = {}
-            for word, channel in choices:
-                score, path = max(((s + self.bigram(b, word), p) for b, (s, p) in column.items()), key=lambda x: x[0])
-                new[word] = (score + channel, [*path, word])
-            column = new
-        # the words that follow decide as well, so the whole line is one path
-        return max(column.values(), key=lambda x: x[0])[1]
+    def decode(self, options: list[list[tuple[str, float]]], before: str | None = None) -> list[str]:
+        """The likeliest of the words of each place, by Viterbi; places with one word part the line into separate paths."""
+        out = [o[0][0] for o in options]
+        k, n = 0, len(options)
+        while k < n:
+            if len(options[k]) == 1:
+                k += 1
+                continue
+            end = k
+            while end < n and len(options[end]) > 1:
+                end += 1
+            left = out[k - 1] if k else before
+            column = [(self.bigram(left, w) + c, (w,)) for w, c in options[k]]
+            for choices in options[k + 1 : end]:
+                column = [max(((s + self.bigram(path[-1], w) + c, (*path, w)) for s, path in column), key=lambda x: x[0]) for w, c in choices]
+            if end < n:  # the word that follows decides as well
+                column = [(s + self.bigram(path[-1], out[end]), path) for s, path in column]
+            out[k:end] = max(column, key=lambda x: x[0])[1]
+            k = end
+        return out
+
+    def token(self, token: str) -> tuple:
+        """(offset of the core, core, right number or None, options or None, whether a sentence ends, whether nothing can be wrong) of a token."""
+        if (known := self.token_cache.get(token)) is not None:
+            return known
+        core = token.strip(_EDGE)
+        offset, fixed, options = (token.find(core) if core else 0), None, None
+        usual = bool(core) and not ("@" in core and "." in core or "_" in core or "://" in core)
+        ends = token[-1:] in (".!?:" if usual else ".!?")
+        if usual:
+            fixed = repair_number(core)
+            if fixed is None and sum(c.isdigit() for c in core) * 2 < len(core) and (_WORD.fullmatch(core) or all(c.isalpha() or c in CONFUSIONS or c in "-'’" for c in core)) and any(c.isalpha() for c in core):
+                options = self.candidates(core)
+        plain = fixed is None and (options is None or len(options) == 1 and options[0][0] == core.lower())
+        if len(self.token_cache) > 500_000:
+            self.token_cache.clear()
+        self.token_cache[token] = out = (offset, core, fixed, options, ends, plain)
+        return out
+
+    def fold(self, line: str) -> str:
+        if (known := self.fold_cache.get(line)) is None:
+            if len(self.fold_cache) > 100_000:
+                self.fold_cache.clear()
+            self.fold_cache[line] = known = fold_line(line)
+        return known
 
 
 def repair_number(token: str) -> str | None:
@@ -207,32 +257,37 @@ def _cased(word: str, token: str, starts: bool) -> str:
     return word[0].upper() + word[1:] if first == "$" or starts else word
 
 
+def made_of(folded: str, words: frozenset[str]) -> bool:
+    """Whether most words of a folded line are among ``words``, and at least two of them."""
+    own = _WORD.findall(folded)
+    known = sum(w in words for w in own)
+    return known >= 2 and known * 4 >= len(own) * 3
+
+
 def faults(text: str, corpus: Corpus) -> list[tuple[str, int, str]]:
     """(kind, start, repaired) of the faults of a scanned text."""
     out: list[tuple[str, int, str]] = []
     lines = lines_of(text)
-    folded = [fold_line(s) for _, s in lines]
-    often = Counter(f for (_, s), f in zip(lines, folded) if s.strip())
+    titled = [is_titled(line.strip()) for _, line in lines]
+    folded = [corpus.fold(line) if t else "" for (_, line), t in zip(lines, titled)]
+    often = Counter(f for f in folded if f)
     body: list[tuple[int, str]] = []
     top = True  # at the top of a page
-    for (at, line), f in zip(lines, folded):
-        visible = at + len(line) - len(line.lstrip())
+    for (at, line), f, title in zip(lines, folded, titled):
         s = line.strip()
         if not s:
             continue
-        if is_page_number(line):
-            out.append(("page_number", visible, ""))
+        if len(s) <= 20 and is_page_number(line):
+            out.append(("page_number", at + line.index(s), ""))
             top = True
             continue
-        sentence = s[-1] in ".,;:" or s[-1] in HYPHENS
-        words = s.split()
-        titled = sum(not w[:1].islower() for w in words) >= 0.75 * len(words)
-        plain = titled and f not in corpus.headings and len(s) <= 90 and s.count(" | ") < 2
-        recurs = often[f] > 1 and top and len(f) > 8
-        if not sentence and plain and (f in corpus.headers or recurs or top and _LETTERHEAD.search(s)):
-            out.append(("header", visible, ""))
-            out += [("misread", a, w) for a, w in _misread([(visible, s)], corpus)]
-            continue
+        if title and f not in corpus.headings and s.count(" | ") < 2:
+            recurs = often[f] > 1 and top and len(f) > 8
+            if f in corpus.headers or recurs or top and made_of(f, corpus.header_words):
+                visible = at + line.index(s)
+                out.append(("header", visible, ""))
+                out += [("misread", a, w) for a, w in _misread([(visible, s)], corpus)]
+                continue
         top = False
         body.append((at, line))
     # words divided at line ends
@@ -241,7 +296,7 @@ def faults(text: str, corpus: Corpus) -> list[tuple[str, int, str]]:
     for k in range(len(body) - 1):
         at, line = body[k]
         stripped = line.rstrip()
-        if not _DIVIDED.search(stripped):
+        if stripped[-1:] not in HYPHENS or not _DIVIDED.search(stripped):
             continue
         head = re.search(r"\S+$", stripped).group().lstrip(_EDGE)
         tail = re.match(r"\s*(\S+)", body[k + 1][1]).group(1)
@@ -287,30 +342,33 @@ def _misread(body: list[tuple[int, str]], corpus: Corpus) -> Iterator[tuple[int,
     """(start, right word) of the words and numbers with wrong characters, line by line."""
     before: str | None = None
     sentence = True
+    known, own = corpus.token_cache, corpus.token
     for at, line in body:
-        tokens, places, starts = [], [], []
-        for m in _TOKEN.finditer(line):
-            token = m.group()
-            core = token.strip(_EDGE)
-            begin = m.start() + token.find(core) if core else m.start()
-            if not core or "@" in core and "." in core or "_" in core or "://" in core or len(core) > 45:
-                sentence = token[-1:] in ".!?"
-                continue
-            fixed = repair_number(core)
+        row = [known.get(t) or own(t) for t in line.split()]
+        if all(t[5] for t in row):  # nothing can be wrong on this line
+            for t in reversed(row):
+                if t[3] is not None:
+                    before = t[3][0][0]
+                    break
+            sentence = row[-1][4] if row else sentence
+            continue
+        cores, places, starts, options = [], [], [], []
+        for m, (offset, core, fixed, choices, ends, _) in zip(_TOKEN.finditer(line), row):
             if fixed is not None:
-                yield at + begin, fixed
-            elif sum(c.isdigit() for c in core) * 2 < len(core) and (_WORD.fullmatch(core) or all(c.isalpha() or c in CONFUSIONS or c in "-'’" for c in core)) and any(c.isalpha() for c in core):
-                tokens.append(core)
-                places.append(at + begin)
+                yield at + m.start() + offset, fixed
+            elif choices is not None:
+                cores.append(core)
+                places.append(at + m.start() + offset)
                 starts.append(sentence)
-            sentence = token[-1:] in ".!?:"
-        if not tokens:
+                options.append(choices)
+            sentence = ends
+        if not options:
             continue
-        words = corpus.decode(tokens, before)
+        words = corpus.decode(options, before)
         before = words[-1]
-        for token, place, start, word in zip(tokens, places, starts, words):
-            if word != token.lower():
-                yield place, _cased(word, token, start)
+        for core, place, start, word in zip(cores, places, starts, words):
+            if word != core.lower():
+                yield place, _cased(word, core, start)
 
 
 def repaired_text(text: str, found: list[tuple[str, int, str]]) -> str:
@@ -353,84 +411,110 @@ def repaired_text(text: str, found: list[tuple[str, int, str]]) -> str:
     return "\n".join(" ".join(p).replace(" \0", "") for p in paragraphs if p)
 
 
+_DIVIDED_WORD = re.compile(rf"[^\W\d_]+[{HYPHENS}][ \t]*[\n\r\x0c]+\s*\S+")
+_PART = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*|\d+")
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(kind, key, clean, scanned): words, pairs and lines of a partition, already summed per batch."""
+    """(kind, key, slot, clean, scanned): words, lines and slots of pairs of a partition, already summed per thousand texts."""
     for pdf in batches:
         for begin in range(0, len(pdf), 1000):
-            counts: dict[tuple[str, str], list[int]] = {}
-
-            def add(kind: str, key: str, side: int, counts=counts) -> None:
-                row = counts.get((kind, key))
-                if row is None:
-                    counts[kind, key] = row = [0, 0]
-                row[side] += 1
-
+            sums: dict[str, tuple[Counter, Counter]] = {k: (Counter(), Counter()) for k in ("word", "pair", "line", "top")}
             for text in pdf["text"].iloc[begin : begin + 1000]:
-                scanned = int(is_scanned(text))
-                lines, top = lines_of(text), True
-                seen = set()
-                for _, line in lines:
+                scanned, top, seen, tops = int(is_scanned(text)), True, set(), set()
+                for line in _LINE_END.split(text):
                     s = line.strip()
                     if not s:
                         continue
-                    if scanned and is_page_number(line):
+                    if scanned and len(s) <= 20 and is_page_number(line):
                         top = True
-                    elif len(s) <= 90 and s[-1] not in ".,;" and s[-1] not in HYPHENS and (top or not scanned):
-                        seen.add(fold_line(s))
+                    elif (top or not scanned) and is_titled(s):
+                        f = fold_line(s)
+                        seen.add(f)
+                        if top and scanned:
+                            tops |= set(_WORD.findall(f))
                         top = False
                     else:
                         top = False
-                for f in seen:
-                    add("line", f, scanned)
+                sums["line"][scanned].update(seen)
+                sums["top"][scanned].update(tops)
                 if scanned:
-                    text = re.sub(rf"[^\W\d_]+[{HYPHENS}][ \t]*[\n\r\x0c]+\s*\S+", " ", text)
-                before = None
-                for m in _WORD.finditer(text.lower()):
-                    w = m.group()
-                    add("word", w, scanned)
-                    if before is not None and m.start() - end <= 2:
-                        add("pair", f"{before} {w}", scanned)
-                    before, end = w, m.end()
-            yield pd.DataFrame([(k, w, *n) for (k, w), n in counts.items()], columns=["kind", "key", "clean", "scanned"])
-
-
-def learn(texts: DataFrame, max_words: int = 200_000, max_pairs: int = 1_000_000, max_lines: int = 50_000) -> Corpus:
-    """Counts over all texts (column ``text``), kept as a model of bounded size.
-
-    The counts cover every text; the model holds the most frequent words, pairs and lines up to the given
-    numbers, beyond which words count as unknown and pairs back off to words.
-    """
-    counts = materialize(texts.select("text").mapInPandas(_count, "kind string, key string, clean long, scanned long").groupBy("kind", "key").agg(F.sum("clean").alias("clean"), F.sum("scanned").alias("scanned")), "counts")
+                    text = _DIVIDED_WORD.sub(" ", text)
+                words = _PART.findall(text.lower())
+                sums["word"][scanned].update(words)
+                sums["pair"][scanned].update(zip(words, words[1:]))
+            for kind in ("word", "line", "top"):
+                clean, read = sums[kind]
+                keys = [w for w in {**clean, **read} if not w[:1].isdigit() or kind == "line"]
+                yield pd.DataFrame({"kind": kind, "key": keys, "slot": -1, "clean": [clean[w] for w in keys], "scanned": [read[w] for w in keys]})
+            clean, read = sums["pair"]
+            keys = [p for p in {**clean, **read} if not p[0][0].isdigit() and not p[1][0].isdigit()]
+            slots = pd.DataFrame({"kind": "pair", "key": "", "slot": [pair_slot(*p) for p in keys], "clean": [clean[p] for p in keys], "scanned": [read[p] for p in keys]})
+            yield slots.groupby(["kind", "key", "slot"], as_index=False).sum()[["kind", "key", "slot", "clean", "scanned"]]
+
+
+def _expected(words: DataFrame, corpus: Corpus) -> dict[tuple[str, str], float]:
+    """How often each confusion is expected to have happened, given the current model, over the words that only scanned texts have."""
+    shared = words.sparkSession.sparkContext.broadcast(corpus)
+
+    def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c, sums = shared.value, Counter()
+        for pdf in batches:
+            for word, n in zip(pdf["key"], pdf["scanned"]):
+                ways = [(math.exp(cost) * c.unigram(w), edits) for w, (cost, edits) in c.readings(word).items()]
+                # an unknown word may also be right as it is
+                total = sum(p for p, _ in ways) + c.unigram(word) * (1 if word in c.words else 1e-3)
+                for p, edits in ways:
+                    for e in edits:
+                        sums[e] += n * p / total
+        yield pd.DataFrame([(a, b, x) for (a, b), x in sums.items()], columns=["piece", "original", "n"])
+
+    rows = words.select("key", "scanned").mapInPandas(expect, "piece string, original string, n double").groupBy("piece", "original").agg(F.sum("n").alias("n"))
+    return {(r.piece, r.original): r.n for r in rows.collect()}  # at most the pairs of CONFUSIONS
 
-    def top(kind: str, n: int, least: int, order: str) -> pd.DataFrame:
-        return counts.where((F.col("kind") == kind) & (F.col("clean") + F.col("scanned") >= least)).orderBy(F.expr(order).desc(), "key").limit(n).toPandas()
 
-    words = top("word", max_words, 1, "20 * clean + scanned")
+def learn(texts: DataFrame, rounds: int = 2) -> Corpus:
+    """The model of a corpus (column ``text``), with the counts of all texts.
+
+    Pair counts are summed in a table of fixed size, where rare pairs may share a slot; every word of a clean text
+    and every word of three or more scanned ones is known, which is the vocabulary of the language. ``rounds`` of
+    expectation-maximisation estimate how often each confusion happens to the pieces it can happen to.
+    """
+    counts = materialize(texts.select("text").mapInPandas(_count, "kind string, key string, slot long, clean long, scanned long").groupBy("kind", "key", "slot").agg(F.sum("clean").alias("clean"), F.sum("scanned").alias("scanned")), "counts")
+    known = (F.col("clean") > 0) | (F.col("scanned") >= 3) & ~F.col("key").rlike(f"[{_ODD}]")
+    words = counts.where(F.col("kind") == "word")
+    vocabulary = words.where(known).select("key", "clean", "scanned").toPandas()
     # a word that only scanned texts have may be a misreading and weighs little
-    table = {w: c + 0.05 * s if c else 0.05 * s for w, c, s in zip(words["key"], words["clean"], words["scanned"]) if c or s >= 3 and not re.search(rf"[{_ODD}]", w)}
-    ids = {w: k for k, w in enumerate(table)}
-    pairs = top("pair", max_pairs, 2, "clean + scanned")
-    n, keys, values = len(ids), [], []
-    for pair, c, s in zip(pairs["key"], pairs["clean"], pairs["scanned"]):
-        a, _, b = pair.partition(" ")
-        if a in ids and b in ids:
-            keys.append(ids[a] * n + ids[b])
-            values.append(c + 0.05 * s)
-    order = np.argsort(np.array(keys, np.int64), kind="stable")
-    lines = top("line", max_lines, 2, "clean + scanned")
-    headers = frozenset(f for f, c, s in zip(lines["key"], lines["clean"], lines["scanned"]) if s >= 3 and c * 20 <= s)
-    headings = frozenset(f for f, c, s in zip(lines["key"], lines["clean"], lines["scanned"]) if c * 20 > s and c >= 2)
-    return Corpus(table, (np.array(keys, np.int64)[order], np.array(values, np.float32)[order]), headers, headings)
-
-
-def scanned_faults(candidates: DataFrame, **bounds: int) -> DataFrame:
+    table = dict(zip(vocabulary["key"], (vocabulary["clean"] + 0.05 * vocabulary["scanned"]).tolist()))
+    pairs = np.zeros(1 << _PAIR_BITS, np.float32)
+    # a pair that occurs once may be what is to be judged itself
+    slots = counts.where("kind = 'pair' and clean + scanned >= 2").select("slot", (F.col("clean") + 0.05 * F.col("scanned")).cast("float").alias("n")).toPandas()  # at most the slots
+    pairs[slots["slot"].to_numpy(np.int64)] = slots["n"].to_numpy(np.float32)
+    lines = counts.where("kind = 'line'").where((F.col("scanned") >= 3) & (F.col("clean") * 20 <= F.col("scanned")) | (F.col("clean") >= 2) & (F.col("clean") * 20 > F.col("scanned"))).select("key", (F.col("clean") * 20 <= F.col("scanned")).alias("header")).toPandas()
+    headers = frozenset(lines["key"][lines["header"]])
+    # words of recurring headers, unless other lines at page tops have them as often
+    of_headers = Counter(w for f in headers for w in set(_WORD.findall(f)))
+    tops = counts.where("kind = 'top' and scanned >= 3").join(words.select("key", F.col("clean").alias("elsewhere"), F.col("scanned").alias("all")), "key", "left").where("scanned * 2 >= all").select("key").toPandas()
+    header_words = frozenset(w for w in tops["key"] if w in of_headers)
+    corpus = Corpus(table, pairs, headers, frozenset(lines["key"][~lines["header"]]), header_words, CONFUSIONS)
+    totals = {o: float((vocabulary["scanned"] * vocabulary["key"].str.count(re.escape(o))).sum()) for o in {o for ways in CONFUSIONS.values() for o, _ in ways}}
+    unknown = words.where("clean = 0 and scanned > 0")
+    for _ in range(rounds):
+        n = _expected(unknown, corpus)
+        # the starting probability counts as a thousand characters
+        corpus.confusions = {piece: tuple((o, (n.get((piece, o), 0.0) + 1000 * p) / (totals[o] + n.get((piece, o), 0.0) + 1000)) for o, p in ways) for piece, ways in CONFUSIONS.items()}
+        corpus.cache.clear()
+    return corpus
+
+
+def scanned_faults(candidates: DataFrame) -> DataFrame:
     """(id, kind, start_pos, repaired), distinct: the faults of the scanned texts, once per id.
 
     ``candidates`` needs id and text; other columns are ignored. Null and empty texts and texts that don't look
     scanned have none. Of an id with several texts each text is searched. Whole texts are searched, however long.
     """
     texts = candidates.where("id is not null and text is not null and trim(text) <> ''").select("id", "text").distinct()
-    corpus = texts.sparkSession.sparkContext.broadcast(learn(texts, **bounds))
+    corpus = texts.sparkSession.sparkContext.broadcast(learn(texts))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -440,10 +524,10 @@ def scanned_faults(candidates: DataFrame, **bounds: int) -> DataFrame:
     return texts.mapInPandas(find, "id string, kind string, start_pos long, repaired string").distinct()
 
 
-def repair(candidates: DataFrame, **bounds: int) -> DataFrame:
+def repair(candidates: DataFrame) -> DataFrame:
     """(id, scanned, repaired_text), distinct: each text, with those of scanned pages as continuous paragraphs."""
     texts = candidates.where("id is not null and text is not null").select("id", "text").distinct()
-    corpus = texts.sparkSession.sparkContext.broadcast(learn(texts, **bounds))
+    corpus = texts.sparkSession.sparkContext.broadcast(learn(texts))
 
     def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .ocr import is_letterhead, is_page_number, is_scanned, lines_of
+from .ocr import is_page_number, is_scanned, is_titled, lines_of
 
 CATEGORIES = ("name", "email", "phone", "identity_number", "street_address")
 PLACEHOLDERS = {c: f"[{c.upper()}]" for c in CATEGORIES}
@@ -40,6 +41,8 @@ STREET_KINDS = "Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Drive|Dr|Way|Terrace|Ter|Co
 FOREIGN_KINDS = "gasse|straße|strasse|weg|allee|platz|ufer|damm|ring"
 
 _BREAK = re.compile(r"(?<=[^\W_])[-­‐¬][ \t]*(?:\r\n|\n|\r)\s*(?=[^\W\d_])")
+_NEVER_NAMES = TITLES | ORGANISATION | ROLES | NOT_PERSONAL | EPONYM_NOUNS
+_BREAK_JVM = r"(?<=[\p{L}\p{N}])[-\u00ad\u2010\u00ac][ \t]*(?:\r\n|\n|\r)\s*(?=\p{L})"
 _D = "[0-9OIlSB]"
 _EMAIL = re.compile(
     r"[A-Za-z0-9][\w.+\-']*\s?(?:@|\s?[\[(]\s?at\s?[\])]\s?)\s?[A-Za-z0-9][\w\-]*(?:\s?(?:\.|[\[(]\s?dot\s?[\])])\s?[A-Za-z][\w\-]*)+"
@@ -52,6 +55,10 @@ _ADDRESS = re.compile(
     rf"|P\.?\s?O\.?\s?Box\s+{_D}+|\b[^\W\d_][\w]*(?:{FOREIGN_KINDS})\s+\d{{1,4}}\s?[a-z]?\b|(?<![\w\-])\d{{1,4}},?\s+(?:rue|calle|via|avenida|boulevard|place)\s+[^\W\d_][\w'’\-]*(?:\s+[^\W\d_][\w'’\-]*)?"
     rf"|\b(?:[^\W\d_][\w'’\-]*\s+){{1,4}}\d{{1,4}}[a-z]?,\s+\d{{4,5}}\s+[^\W\d_]{{3,}}"
     rf"|\b(?:Rue|Calle|Via|Avenida)\s+[^\W\d_][\w'’\-]*(?:\s+[^\W\d_][\w'’\-]*)?,?\s+\d{{1,4}}\b", re.I)
+#: What an e-mail or street address must hold; the patterns above are only tried around these.
+_EMAIL_ANCHOR = re.compile(r"@|[\[(]\s?at\s?[\])]|\sat\s+[A-Za-z0-9][\w\-]*\s+dot\s", re.I)
+_ADDRESS_ANCHOR = re.compile(
+    rf"\b(?:{STREET_KINDS}|Box|Rue|Calle|Via|Avenida)\b|(?:{FOREIGN_KINDS})\s+\d|\d[a-z]?,\s+\d{{4,5}}\s", re.I)
 _NAME_TOKEN = re.compile(r"(?<![\w@.+\-])(?:[^\W\d_]\.(?=\s?[^\W\d_])|(?:[OoDdLl]['’])?[^\W\d_]{2,}(?:[-'’][^\W\d_]+)*)(?![\w@+]|[._\-]\w)")
 _WORDS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 _SHAPE = (re.compile(r"[A-Z]"), re.compile(r"[a-z]"), re.compile(r"\d"))
@@ -63,25 +70,13 @@ class Gazetteer:
 
     given: frozenset[str] = frozenset()
     family: frozenset[str] = frozenset()
+    rare: frozenset[str] = frozenset()
     towns: frozenset[str] = frozenset()
     heads: frozenset[str] = field(default_factory=frozenset)
     tails: frozenset[str] = field(default_factory=frozenset)
+    usual: frozenset[str] = frozenset()
     cache: dict[str, int] = field(default_factory=dict)
 
-    @classmethod
-    def build(cls, given: dict[str, int], family: dict[str, int], towns: set[str], common: frozenset[str]) -> Gazetteer:
-        """From counts; ``common`` words of the language are no evidence for a name."""
-        g = frozenset(w for w, n in given.items() if n >= 2 and len(w) > 2 and w not in common)
-        f = frozenset(w for w, n in family.items() if n >= 2 and len(w) > 2 and w not in common and w not in g)
-        heads: dict[str, set[str]] = {}
-        tails: dict[str, set[str]] = {}
-        for w in f:
-            for k in range(3, len(w) - 1):
-                heads.setdefault(w[:k], set()).add(w[k:])
-                tails.setdefault(w[k:], set()).add(w[:k])
-        # beginnings and endings that many names share
-        return cls(g, f, frozenset(towns), frozenset(h for h, t in heads.items() if len(t) >= 6), frozenset(t for t, h in tails.items() if len(h) >= 6))
-
     def knows(self, word: str) -> int:
         """3 for a given name, 2 for a family name, 1 for a word composed like one, 0 otherwise."""
         if (strength := self.cache.get(word)) is None:
@@ -99,7 +94,7 @@ class Gazetteer:
         if any(p in self.given for p in parts):
             return 3
         for p in parts:
-            if len(p) >= 5 and any(p[:k] in self.heads and p[k:] in self.tails for k in range(3, len(p) - 1)):
+            if p in self.rare or len(p) >= 5 and any(p[:k] in self.heads and p[k:] in self.tails for k in range(3, len(p) - 1)):
                 return 1
         return 0
 
@@ -111,9 +106,15 @@ class View:
         self.wrapped = is_scanned(text)
         furniture = []
         if self.wrapped:  # headers and page numbers may part a mention
-            for at, line in lines_of(text):
-                if is_page_number(line) or (is_letterhead(line) and "," not in line[:12]):
+            lines = [(at, line, line.strip()) for at, line in lines_of(text) if line.strip()]
+            often = Counter(x for _, _, x in lines)
+            after = False  # after a page number
+            for at, line, x in lines:
+                number = len(x) <= 20 and is_page_number(line)
+                header = (after or often[x] > 1) and is_titled(x) and ":" not in x and "," not in line[:12]
+                if number or header:
                     furniture.append((at, at + len(line) + 1))
+                after = number
         pieces, starts, offsets, at, length = [], [], [], 0, 0
         for begin, end in self._skipped(text, furniture):
             if begin < at:
@@ -175,8 +176,9 @@ def _shape(s: str) -> str:
 def name_spans(view: View, gazetteer: Gazetteer) -> Iterator[tuple[int, int, list[int]]]:
     """(begin, end, strengths) of runs of words that may be a person's name."""
     text = view.text
-    tokens = [(m.start(), m.end(), m.group()) for m in _NAME_TOKEN.finditer(text)]
-    known = [0 if w[-1] == "." else gazetteer.knows(w) for _, _, w in tokens]
+    tokens = [(*m.span(), m.group()) for m in _NAME_TOKEN.finditer(text)]
+    cached, knows = gazetteer.cache, gazetteer.knows
+    known = [0 if w[-1] == "." else k if (k := cached.get(w)) is not None else knows(w) for _, _, w in tokens]
     n, i = len(tokens), 0
 
     def gap(k: int) -> str:
@@ -188,8 +190,22 @@ def name_spans(view: View, gazetteer: Gazetteer) -> Iterator[tuple[int, int, lis
             return False
         return "\n" not in g or view.wrapped or known[k] == 3 and known[k + 1] in (1, 2) and g == "\n"
 
+    def unusual(k: int) -> bool:
+        """Whether a word is written like a name and isn't a word of the language."""
+        w = tokens[k][2]
+        return w[0].isupper() and w[1:].islower() and (low := w.lower()) not in gazetteer.usual and low not in _NEVER_NAMES
+
+    def introduced(k: int, end: int) -> bool:
+        """Whether the words before or after a run speak of a person."""
+        before = tokens[k - 1][2].lower().rstrip(".") if k and not text[tokens[k - 1][1] : tokens[k][0]].strip(" \n.,:") else ""
+        after = tokens[end + 1][2].lower() if end + 1 < n and not text[tokens[end][1] : tokens[end + 1][0]].strip(" \n,;(") else ""
+        return (before in TITLES or before in ROLES or after in AFTER_NAME) and after not in EPONYM_NOUNS
+
     while i < n:
         begin, _, w = tokens[i]
+        if not known[i] and not w[0].isupper():
+            i += 1
+            continue
         title = False
         if i and text[tokens[i - 1][1] : begin].strip(" \n.") == "" and tokens[i - 1][2].lower().rstrip(".") in TITLES and tokens[i - 1][2][0].isupper():
             title = w[0].isupper() and w.lower() not in TITLES
@@ -201,6 +217,12 @@ def name_spans(view: View, gazetteer: Gazetteer) -> Iterator[tuple[int, int, lis
             i += 1
             continue
         if not (strong or title and len(w) > 1 or initial and i + 1 < n and follows(i) and (known[i + 1] or tokens[i + 1][2][-1] == "." and i + 2 < n and known[i + 2])):
+            j = i
+            while j < i + 3 and j + 1 < n and unusual(j) and unusual(j + 1) and follows(j):
+                j += 1
+            if j > i and introduced(i, j):  # unknown to the gazetteer, told by its letters and neighbours
+                yield begin, tokens[j][1], [known[k] for k in range(i, j + 1)]
+                i = j
             i += 1
             continue
         j, values = i, [known[i]]
@@ -230,6 +252,46 @@ def _features(category: str, votes: tuple[int, ...], span: str, before: list[str
     return [crc32(f"{category}|{x}".encode()) & ((1 << _BITS) - 1) for x in items]
 
 
+def _emails(t: str) -> Iterator[re.Match]:
+    """The matches of the e-mail pattern, tried where the part before each anchor begins."""
+    done = 0
+    for anchor in _EMAIL_ANCHOR.finditer(t):
+        k = anchor.start()
+        while k > done and t[k - 1].isspace():
+            k -= 1
+        while k > done and (t[k - 1].isalnum() or t[k - 1] in "_.+-'"):
+            k -= 1
+        while k < anchor.start() and not (t[k].isascii() and t[k].isalnum()):
+            k += 1
+        if k < anchor.start() and (m := _EMAIL.match(t, k)):
+            yield m
+            done = m.end()
+
+
+def _addresses(t: str) -> Iterator[re.Match]:
+    """The matches of the address pattern, tried in the words around each anchor."""
+    done = 0
+    for anchor in _ADDRESS_ANCHOR.finditer(t):
+        if anchor.start() < done:
+            continue
+        begin, end = anchor.start(), anchor.end()
+        for _ in range(9):
+            while begin > done and not t[begin - 1].isspace():
+                begin -= 1
+            while begin > done and t[begin - 1].isspace():
+                begin -= 1
+        for _ in range(6):
+            while end < len(t) and not t[end].isspace():
+                end += 1
+            while end < len(t) and t[end].isspace():
+                end += 1
+        for m in _ADDRESS.finditer(t, begin, end):
+            yield m
+            done = m.end()
+            if done >= anchor.end():
+                break
+
+
 def candidates(text: str, gazetteer: Gazetteer) -> list[Candidate]:
     """(category, begin, end, votes, features) of the proposed spans of a text, in positions of its view."""
     view = View(text)
@@ -239,7 +301,7 @@ def candidates(text: str, gazetteer: Gazetteer) -> list[Candidate]:
         out.append((category, begin, end, votes, _features(category, votes, t[begin:end], before, after, extra)))
 
     taken: list[tuple[int, int]] = []
-    for m in _EMAIL.finditer(t):
+    for m in _emails(t):
         before, after = _before(t, m.start()), _after(t, m.end())
         s = m.group()
         plain = bool(re.fullmatch(r"[\w.+\-]+@[\w\-]+(\.[\w\-]+)+", s))
@@ -251,7 +313,7 @@ def candidates(text: str, gazetteer: Gazetteer) -> list[Candidate]:
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y in taken)
 
-    for m in _ADDRESS.finditer(t):
+    for m in _addresses(t):
         if not free(*m.span()):
             continue
         begin, s = m.start(), m.group()
@@ -266,7 +328,7 @@ def candidates(text: str, gazetteer: Gazetteer) -> list[Candidate]:
         written = [w for w in re.findall(r"[^\W\d_]{2,}", s) if w.lower() not in PARTICLES]
         titled = all(w[0].isupper() for w in written)
         votes = (1 if titled else 0 if all(w.islower() for w in written) and s[:1].isdigit() else -1, 1 if any(town in near for town in gazetteer.towns) or re.search(r"\b\d{5}\b", near) else 0, 1 if set(before) & ADDRESS_WORDS else 0,
-                 1 if re.search(r"stairs|last spring|postcode|zip", near) else 0, -1 if inner & (ORGANISATION - {"unit"} | {"mg", "was", "the", "and", "of", "after"}) or set(before[-1:]) & {"ward", "room", "page"} else 0)
+                 1 if re.search(r"postcode|post code|zip", near) else 0, -1 if inner & (ORGANISATION - {"unit"} | {"mg", "was", "the", "and", "of", "after"}) or set(before[-1:]) & {"ward", "room", "page"} else 0)
         add("street_address", begin, m.end(), votes, before, after)
         if votes[0] + votes[4] >= 0:
             taken.append((begin, m.end()))
@@ -280,7 +342,7 @@ def candidates(text: str, gazetteer: Gazetteer) -> list[Candidate]:
         labelled = bool(set(before[-3:]) & ID_WORDS - {"with", "under", "no"})
         strict = re.fullmatch(rf"{_D}{{3}}-{_D}{{2}}-{_D}{{4}}|[A-Z]{{3}}{_D}{{8}}|[A-Z]{_D}{{7,8}}|{_D}{{8}}[A-Z]|M-{_D}{{6}}", s)
         loose = re.fullmatch(rf"{_D}{{3}}[\s\-]{_D}{{2}}[\s\-]{_D}{{4}}", s)
-        votes = (1 if strict else 0 if loose else -1, 0, 1 if labelled else 0, 1 if set(after) & {"was", "see"} and (labelled or strict) else 0, -1 if set(before[-3:]) & NOT_PERSONAL or s.startswith("NX") else 0)
+        votes = (1 if strict else 0 if loose else -1, 0, 1 if labelled else 0, 0, -1 if set(before[-3:]) & NOT_PERSONAL else 0)
         add("identity_number", m.start(), m.end(), votes, before, after, _shape(s))
     for m in _PHONE.finditer(t):
         s = m.group()
@@ -292,7 +354,7 @@ def candidates(text: str, gazetteer: Gazetteer) -> list[Candidate]:
             continue
         g = "".join(re.sub(rf"{_D}+", lambda x: str(len(x.group())), s).split())
         usual = bool(re.fullmatch(r"\+?1?[-.]?\(?3\)?[-.]?3[-.]?4|10|11|\+?\d?[-.]?3[-.]?3[-.]?(?:4|22)|53?3?3?|\+2?4?6?|533|\+246|\+210|3322|1?-?3-3-4|\+1\(3\)3-4", g)) or len(digits) in (10, 11, 12)
-        votes = (1 if usual else 0, 1 if len(digits) in (10, 11, 12) else 0, 1 if set(before) & PHONE_WORDS else 0, 1 if set(after[:3]) & {"most", "after", "ask", "voicemail", "no"} else 0, -1 if set(before[-3:]) & (NOT_PERSONAL | {"ssn", "passport", "mrn", "member", "id"}) else 0)
+        votes = (1 if usual else 0, 1 if len(digits) in (10, 11, 12) else 0, 1 if set(before) & PHONE_WORDS else 0, 1 if set(after[:2]) & {"ext", "extension", "mobile", "home", "work"} else 0, -1 if set(before[-3:]) & (NOT_PERSONAL | {"ssn", "passport", "mrn", "member", "id"}) else 0)
         add("phone", m.start(), m.end(), votes, before, after, g)
     for begin, end, known in name_spans(view, gazetteer):
         if not free(begin, end):
@@ -309,7 +371,7 @@ def candidates(text: str, gazetteer: Gazetteer) -> list[Candidate]:
         organisation = nxt in ORGANISATION or bool(set(words) & ORGANISATION) or (len(after) > 1 and nxt in ("|", "-") and after[1] in ORGANISATION) or prev in ("st", "port", "nether", "lower", "saint")
         votes = (
             1 if len(words) > 1 and cased else 0 if cased or len(known) > 1 else -1,
-            1 if 3 in known and (2 in known or 1 in known or len(known) > 1) else 0 if max(known) >= 1 else -1,
+            1 if 3 in known and (2 in known or 1 in known or len(known) > 1) else 0 if max(known) >= 1 or len(known) > 1 else -1,
             1 if prev in TITLES or prev in ROLES or prev == ":" and len(before) > 1 and before[-2] in ROLES or prev == "," and len(before) > 1 and before[-2] in ROLES else 0,
             1 if nxt in AFTER_NAME or nxt in (",", ";", ".") and len(known) > 1 else 0,
             -1 if town or organisation or nxt in EPONYM_NOUNS else 0,
@@ -402,48 +464,56 @@ class Finder:
         return "".join([*out, text[at:]])
 
 
-def learn_gazetteer(records: DataFrame, texts: DataFrame, max_words: int = 200_000) -> Gazetteer:
-    """Name words of person records; words that texts mostly write in lower case are left out.
+def learn_gazetteer(records: DataFrame, texts: DataFrame) -> Gazetteer:
+    """The name words of person records that also occur in the texts; words that the texts mostly write in lower case are left out.
 
-    Bounded to the ``max_words`` most frequent names.
+    So it is bounded by the words of the texts, not by the number of records. Names that occur once count as rare.
+    Beginnings and endings that many family names share tell words composed like one.
     """
     names = records.select(F.explode_outer("names").alias("n"))
-    given = names.select(F.explode(F.col("n.given")).alias("w")).select(F.lit("given").alias("kind"), F.lower(F.trim("w")).alias("w"))
-    family = names.select(F.explode(F.split(F.lower(F.trim("n.family")), r"[-\s'’]+")).alias("w")).select(F.lit("family").alias("kind"), "w")
-    towns = records.select(F.explode("addresses").alias("a")).select(F.lit("town").alias("kind"), F.lower(F.trim("a.city")).alias("w"))
-    rows = given.unionByName(family).unionByName(towns).where("w is not null and w <> ''").groupBy("kind", "w").count().where("count >= 2").orderBy(F.desc("count"), "kind", "w").limit(max_words).toPandas()
-    by = {k: dict(zip(g["w"], g["count"])) for k, g in rows.groupby("kind")}
+    given = names.select(F.explode(F.col("n.given")).alias("w")).select(F.lower(F.trim("w")).alias("w"), F.lit(1).alias("g"), F.lit(0).alias("f"))
+    family = names.select(F.explode(F.split(F.lower(F.trim("n.family")), r"[-\s'’]+")).alias("w")).select("w", F.lit(0).alias("g"), F.lit(1).alias("f"))
+    known = materialize(given.unionByName(family).where("length(w) > 2").groupBy("w").agg(F.sum("g").alias("g"), F.sum("f").alias("f")), "names")
     prose = F.regexp_replace("text", r"\S*[@_+]\S*", " ")  # addresses write names in lower case
+    prose = F.regexp_replace(prose, rf"{_BREAK_JVM}", "")
     word = texts.select(F.explode(F.regexp_extract_all(prose, F.lit(r"(\p{L}{3,})"), F.lit(1))).alias("w"))
-    counts = word.groupBy(F.lower("w").alias("k")).agg(F.count_if(F.col("w") == F.lower("w")).alias("low"), F.count("*").alias("n")).where("low >= 20 and low > 0.9 * n")
-    common = frozenset(r.k for r in counts.orderBy(F.desc("low"), "k").limit(max_words).collect())
+    counts = materialize(word.groupBy("w").count().groupBy(F.lower("w").alias("k")).agg(F.sum(F.when(F.col("w") == F.lower("w"), F.col("count")).otherwise(0)).alias("low"), F.sum("count").alias("n")), "words")
+    common = frozenset(counts.where("low >= 20 and low > 0.9 * n").select("k").toPandas()["k"])
+    usual = frozenset(counts.where("low >= 3 and low > 0.1 * n").select("k").toPandas()["k"])
+    there = known.join(counts.select(F.col("k").alias("w")), "w", "left_semi").toPandas()
+    there = there[~there["w"].isin(common)]
     # a given name that some records hold as family name (swapped fields) stays a given name
-    g, f = by.get("given", {}), by.get("family", {})
-    given_words = {w: n for w, n in g.items() if n >= f.get(w, 0)}
-    family_words = {w: n for w, n in f.items() if n > g.get(w, 0)}
-    return Gazetteer.build(given_words, family_words, set(by.get("town", {})), common)
+    often = there["g"] + there["f"] >= 2
+    as_given = there["g"] >= there["f"]
+    cut = known.where("f >= 2 and f > g").join(counts.where("low >= 20 and low > 0.9 * n").select(F.col("k").alias("w")), "w", "left_anti")
+    parts = cut.select(F.col("w"), F.explode(F.expr("if(length(w) > 4, sequence(3, length(w) - 2), array())")).alias("k")).select(F.expr("substring(w, 1, k)").alias("h"), F.expr("substring(w, k + 1)").alias("t"))
+    heads, tails = (frozenset(parts.groupBy(c).count().where("count >= 6").select(c).toPandas()[c]) for c in ("h", "t"))
+    towns = records.select(F.explode("addresses").alias("a")).select(F.lower(F.trim("a.city")).alias("w")).where("w <> ''").groupBy("w").count()
+    towns = towns.withColumn("first", F.regexp_extract("w", r"(\p{L}{3,})", 1)).join(counts.select(F.col("k").alias("first")), "first", "left_semi").select("w").toPandas()
+    return Gazetteer(frozenset(there["w"][often & as_given]), frozenset(there["w"][often & ~as_given]), frozenset(there["w"][~often]), frozenset(towns["w"]), heads, tails, usual)
 
 
 _SPANS = "array<struct<category: string, a: long, b: long, votes: string, features: array<int>>>"
 
 
 def propose(texts: DataFrame, gazetteer: Gazetteer) -> DataFrame:
-    """(id, text, spans): the proposed spans of each text, written to the shared folder so that texts are read once."""
+    """(id, h, spans): the proposed spans of each text that has some; h is the hash of the text. Written once to the shared folder."""
     shared = texts.sparkSession.sparkContext.broadcast(gazetteer)
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [[(c, a, b, ",".join(map(str, v)), f) for c, a, b, v, f in candidates(t, shared.value)] for t in pdf["text"]]
-            yield pdf.assign(spans=[[dict(zip(("category", "a", "b", "votes", "features"), r)) for r in row] for row in rows])
+            rows = [[dict(zip(("category", "a", "b", "votes", "features"), (c, a, b, ",".join(map(str, v)), f))) for c, a, b, v, f in candidates(t, shared.value)] for t in pdf["text"]]
+            some = [bool(r) for r in rows]
+            yield pdf.loc[some, ["id", "h"]].assign(spans=[r for r in rows if r])
 
-    return materialize(texts.select("id", "text").mapInPandas(spans, f"id string, text string, spans {_SPANS}"), "spans")
+    return materialize(texts.select("id", F.xxhash64("text").alias("h"), "text").mapInPandas(spans, f"id string, h long, spans {_SPANS}"), "spans")
 
 
 def learn(proposed: DataFrame, gazetteer: Gazetteer, max_texts: int = 4_000) -> Finder:
     """Reliabilities from the spans of all texts, and a classifier trained on those of at most ``max_texts`` texts chosen by a hash."""
     patterns = proposed.select(F.explode("spans").alias("s")).groupBy("s.category", "s.votes").count().collect()  # at most 3^5 per category
     posterior = estimate_reliabilities({(r.category, tuple(map(int, r.votes.split(",")))): r["count"] for r in patterns})
-    chosen = proposed.where(F.size("spans") > 0).select("id", "spans").orderBy(F.xxhash64("id"), "id").limit(max_texts)
+    chosen = proposed.select("id", "h", "spans").orderBy(F.xxhash64("id"), "id", "h").limit(max_texts)
     rows = chosen.select(F.explode("spans").alias("s")).select("s.*").toPandas()  # bounded by max_texts
     training = [(list(f), posterior[c, tuple(map(int, v.split(",")))]) for c, v, f in zip(rows["category"], rows["votes"], rows["features"])]
     return Finder(gazetteer, train_classifier(training))
@@ -460,7 +530,7 @@ def mentions(table: DataFrame, records: DataFrame, **bounds: int) -> DataFrame:
     ids and texts and empty texts have none. Repeated rows count once. Whole texts are searched, however long.
     """
     texts = _texts(table)
-    gazetteer = learn_gazetteer(records, texts)
+    gazetteer = learn_gazetteer(records, table.where("text is not null"))
     proposed = propose(texts, gazetteer)
     finder = texts.sparkSession.sparkContext.broadcast(learn(proposed, gazetteer, **bounds))
 
@@ -469,13 +539,13 @@ def mentions(table: DataFrame, records: DataFrame, **bounds: int) -> DataFrame:
             rows = [(key, c, a, b) for key, spans in zip(pdf["id"], pdf["spans"]) for c, a, b, _ in finder.value.choose([(s["category"], s["a"], s["b"], s["features"]) for s in spans])]
             yield pd.DataFrame(rows, columns=["id", "category", "start_pos", "end_pos"])
 
-    return proposed.where(F.size("spans") > 0).select("id", "spans").mapInPandas(find, "id string, category string, start_pos long, end_pos long").distinct()
+    return proposed.select("id", "spans").mapInPandas(find, "id string, category string, start_pos long, end_pos long").distinct()
 
 
 def redact(table: DataFrame, records: DataFrame, **bounds: int) -> DataFrame:
-    """(id, redacted_text), distinct: each text with typed placeholders; nulls stay null."""
+    """(id, redacted_text), distinct: each text with typed placeholders; rows with a null id or text are left out, empty texts stay empty."""
     texts = _texts(table)
-    gazetteer = learn_gazetteer(records, texts)
+    gazetteer = learn_gazetteer(records, table.where("text is not null"))
     proposed = propose(texts, gazetteer)
     finder = texts.sparkSession.sparkContext.broadcast(learn(proposed, gazetteer, **bounds))
 
@@ -483,7 +553,8 @@ def redact(table: DataFrame, records: DataFrame, **bounds: int) -> DataFrame:
         for pdf in batches:
             out = []
             for text, spans in zip(pdf["text"], pdf["spans"]):
-                out.append(finder.value.redact(text, finder.value.choose([(s["category"], s["a"], s["b"], s["features"]) for s in spans])))
+                out.append(text if spans is None else finder.value.redact(text, finder.value.choose([(s["category"], s["a"], s["b"], s["features"]) for s in spans])))
             yield pd.DataFrame({"id": pdf["id"], "redacted_text": out})
 
-    return proposed.mapInPandas(replace, "id string, redacted_text string")
+    joined = texts.withColumn("h", F.xxhash64("text")).join(proposed, ["id", "h"], "left")
+    return joined.select("id", "text", "spans").mapInPandas(replace, "id string, redacted_text string")
