@@ -47,25 +47,28 @@ def test_hot_block_keeps_links(spark):
     rows, truth = population(120)
     rows = [r[:6] + ([("phone", "5555555555")],) + r[7:] if i % 3 else r for i, r in enumerate(rows)]
     copies = [person(f"x{i:03}", ("one", "two")[i % 2], "Same", "Ada", dt.date(1990, 1, 1), "2005550100", "1 A St", "11111") for i in range(40)]
-    got = {(r.record_id_a, r.record_id_b) for r in linkage.match_records(spark.createDataFrame(rows + copies, PERSON), max_block=10).collect()}
+    got = {(r.record_id_a, r.record_id_b) for r in linkage.match_records(spark.createDataFrame(rows + copies, PERSON)).collect()}
     assert len({p for p in got if p[0][0] == "x"}) == 20 * 20
     assert len(got & truth) / len(truth) > 0.9
 
 
+PEOPLE = "rid long, parts array<string>, givens array<string>, birth date, contacts array<string>, places array<string>, postals array<string>"
+
+
 def test_chunked_block_pairs_are_complete(spark):
     ids = list(range(130))
-    people = spark.createDataFrame([(i, "same", ["same"], "n", None, dt.date(1990, 1, 1), None, "5550001111", None, None) for i in ids], "rid long, family string, family_parts array<string>, given string, middle string, birth date, sex string, phone string, street string, postal string")
-    pairs = {(r.a, r.b) for r in linkage.candidate_pairs(people, max_block=5, rounds=1, chunk=30).collect()}
+    people = spark.createDataFrame([(i, ["same"], ["n"], dt.date(1990, 1, 1), ["5550001111"], [], []) for i in ids], PEOPLE)
+    pairs = {(r.a, r.b) for r in linkage.candidate_pairs(people, chunk=30).collect()}
     assert pairs == {(a, b) for a in ids for b in ids if a < b}
 
 
 def test_large_block_keeps_pairs_of_different_records(spark):
     """Records that share their telephone number and nothing else, and pairs that share no other block either."""
     ids = list(range(130))
-    rows = [(i, f"{chr(97 + i % 26) * 4}{i}", [f"{chr(97 + i % 26) * 4}{i}"], f"{chr(97 + i // 26) * 3}{i}", None, dt.date(1930, 1, 1) + dt.timedelta(days=190 * i), "male" if i % 2 else "female", "5550001111", f"{i} st", f"{10000 + i}") for i in ids]
-    people = spark.createDataFrame(rows, "rid long, family string, family_parts array<string>, given string, middle string, birth date, sex string, phone string, street string, postal string")
+    rows = [(i, [f"{chr(97 + i % 26) * 4}{i}"], [f"{chr(97 + i // 26) * 3}{i}"], dt.date(1930, 1, 1) + dt.timedelta(days=190 * i), ["5550001111"], [f"{i} st|{10000 + i}"], [f"{10000 + i}"]) for i in ids]
+    people = spark.createDataFrame(rows, PEOPLE)
     for chunk in (30, 500):
-        pairs = [(r.a, r.b) for r in linkage.candidate_pairs(people, max_block=10, chunk=chunk).collect()]
+        pairs = [(r.a, r.b) for r in linkage.candidate_pairs(people, chunk=chunk).collect()]
         assert len(pairs) == len(set(pairs)) and set(pairs) == {(a, b) for a in ids for b in ids if a < b}
 
 
@@ -74,10 +77,10 @@ def test_hot_name_keeps_changed_records(spark):
     rows = []
     for k in range(80):
         born = dt.date(1970, 1 + k % 12, 1 + k % 27)
-        rows.append((2 * k, "Alderby", ["alderby"], "ada", None, born, "female", f"2005550{k:03}", f"{k} a st", f"{10000 + k}"))
-        rows.append((2 * k + 1, "Alderby", ["alderby"], "ada", None, born.replace(day=born.day + 1), "female", f"3005551{k:03}", f"{k} b st", f"{20000 + k}"))
-    people = spark.createDataFrame(rows, "rid long, family string, family_parts array<string>, given string, middle string, birth date, sex string, phone string, street string, postal string")
-    pairs = {(r.a, r.b) for r in linkage.candidate_pairs(people, max_block=5).collect()}
+        rows.append((2 * k, ["alderby"], ["ada"], born, [f"2005550{k:03}"], [f"{k} a st|{10000 + k}"], [f"{10000 + k}"]))
+        rows.append((2 * k + 1, ["alderby"], ["ada"], born.replace(day=born.day + 1), [f"3005551{k:03}"], [f"{k} b st|{20000 + k}"], [f"{20000 + k}"]))
+    people = spark.createDataFrame(rows, PEOPLE)
+    pairs = {(r.a, r.b) for r in linkage.candidate_pairs(people, chunk=5).collect()}
     assert {(2 * k, 2 * k + 1) for k in range(80)} <= pairs
 
 
@@ -163,3 +166,21 @@ def test_raking_meets_marginals():
     for k, shares in marginals.items():
         for v, share in shares.items():
             assert math.isclose(mass[cells[k] == v].sum() / mass.sum(), share, rel_tol=1e-3)
+
+
+def test_all_names_addresses_and_contacts_count(spark):
+    """A nickname, a second telephone number, an e-mail address or a second address connects records as the first ones do."""
+    rows, _ = population()
+    born = dt.date(1981, 2, 3)
+    base = person("m-one", "one", "Quillmar Orsby Tann", "Theodora", born, "2015550111", "1 Elm Road", "44444")
+    other = person("m-two", "two", "Tann", "Dory", born, "2015550222", "2 Oak Lane", "33333")
+    names = [("official", "Tann", ["Dory"]), ("nickname", None, ["Theodora"])]
+    contacts = [("phone", "2015550222"), ("email", "T.Tann@example.org"), ("phone", "201-555-0111")]
+    changed = list(other)
+    for k, v in enumerate(changed):
+        if isinstance(v, list) and v and v[0][0] == "phone":
+            changed[k] = contacts
+        elif isinstance(v, list) and v and len(v[0]) == 3 and v[0][1] == "Tann":
+            changed[k] = names
+    got = {(r.record_id_a, r.record_id_b) for r in linkage.match_records(spark.createDataFrame([*rows, base, tuple(changed)], PERSON)).collect()}
+    assert ("m-one", "m-two") in got
