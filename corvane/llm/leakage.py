@@ -38,11 +38,16 @@ class WordSearch:
 
     def __init__(self, items: list[tuple[int, str]], run: int = 4):
         self.run, self.vocabulary = run, {}
+        self.short: dict[int, list[tuple[int, list[str]]]] = defaultdict(list)
         self.lengths: dict[int, int] = {}
         where: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            self.lengths[item] = len(ids)
+            words = words_of(text)
+            self.lengths[item] = len(words)
+            if 0 < len(words) < run:
+                self.short[len(words)].append((item, words))
+                continue
+            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
             for at in range(len(ids) - run + 1):
                 where[tuple(ids[at : at + run])].append((item, at))
         patterns = np.array(list(where), np.int64).reshape(-1, run)
@@ -54,6 +59,16 @@ class WordSearch:
         order = np.argsort(suffix, kind="stable")
         self.patterns, self.suffix, self.order = patterns[order], suffix[order], order
 
+    def whole(self, texts: list[list[str]]) -> Iterator[tuple[int, int]]:
+        """(text, item) of the items shorter than a run that a text holds whole."""
+        for n, items in self.short.items():
+            wanted: dict[tuple[str, ...], list[int]] = defaultdict(list)
+            for item, words in items:
+                wanted[tuple(words)].append(item)
+            for k, words in enumerate(texts):
+                for found in wanted.keys() & set(zip(*(words[j:] for j in range(n)))):
+                    yield from ((k, item) for item in wanted[found])
+
     def find(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, word position, pattern) of every occurrence of a pattern."""
         get, run = self.vocabulary.get, self.run
@@ -105,63 +120,83 @@ def passages(seeds: list[tuple[int, int]], run: int, gap: int = 4) -> list[tuple
             pieces.append(piece)
     pieces.sort(key=lambda p: (p[2], p[0]))
     best: list[tuple[int, int, int, int]] = []
-    for k, (i0, i1, d0, d1) in enumerate(pieces):
+    near: list[tuple[int, int, int, int]] = []  # those that a piece beginning here or later may continue
+    for i0, i1, d0, d1 in pieces:
         own = (i0, i1, d0, d1)
-        for a0, a1, b0, b1 in best[max(0, k - 200) :]:
+        near = [p for p in near if d0 - p[3] <= gap]
+        for a0, a1, b0, b1 in near:
             # pieces may share a repeated word at the seam
-            if a0 < i0 and b0 < d0 and a1 < i1 and b1 < d1 and i0 - a1 <= gap and d0 - b1 <= gap and i0 > a1 - run and d0 > b1 - run and i1 - a0 > own[1] - own[0]:
+            if a0 < i0 and b0 < d0 and a1 < i1 and b1 < d1 and i0 - a1 <= gap and i0 > a1 - run and d0 > b1 - run and i1 - a0 > own[1] - own[0]:
                 own = (a0, i1, b0, d1)
         best.append(own)
+        near.append(own)
     return best
 
 
 def covered(found: list[tuple[int, int, int, int]]) -> int:
     """The most words of the item that one passage, or two in the item's order, make up."""
     top = max((p[1] - p[0] for p in found), default=0)
-    for a in found:
-        for b in found:
-            if a[1] <= b[0] and a[3] <= b[2]:
-                top = max(top, a[1] - a[0] + b[1] - b[0])
+    # longest first passage by where it ends in the item, as a running maximum over a binary indexed tree
+    size = max((p[1] for p in found), default=0) + 1
+    tree = [0] * (size + 1)
+    ended, k = sorted(found, key=lambda p: p[3]), 0
+    for i0, i1, d0, _ in sorted(found, key=lambda p: p[2]):
+        while k < len(ended) and ended[k][3] <= d0:
+            at, length = ended[k][1] + 1, ended[k][1] - ended[k][0]
+            while at <= size:
+                tree[at] = max(tree[at], length)
+                at += at & -at
+            k += 1
+        at, first = i0 + 1, 0
+        while at > 0:
+            first = max(first, tree[at])
+            at -= at & -at
+        if first:
+            top = max(top, first + i1 - i0)
     return top
 
 
-def leaks(documents: DataFrame, items: DataFrame, *, share: float = 0.5, run: int = 4, items_per_pass: int = 20_000, chunk: int = 500) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, *, share: float = 0.5, run: int = 4, block_items: int = 20_000, chunk: int = 500) -> DataFrame:
     """(doc_id, item_id, share): documents that hold at least ``share`` of an item's words in one or two running passages.
 
     ``documents`` needs doc_id and text, ``items`` item_id and text; other columns are ignored. Null and empty
-    texts and items of fewer than ``run`` words have no hits. Repeated rows give one row. Items are searched for in
-    passes of ``items_per_pass``, so that the tables that each task holds are bounded whatever their number; whole
-    documents are searched in every pass.
+    texts have no hits; items of fewer than ``run`` words only as a whole. Repeated rows give one row. Documents are read
+    and split into words once; the tables of ``block_items`` items at a time are searched for in each batch, so that a
+    task holds bounded tables whatever the number of items.
     """
     spark = documents.sparkSession
     ordered = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    passes = max(1, -(-ordered.count() // items_per_pass))
-    result = None
-    for k in range(passes):
-        block = ordered if passes == 1 else ordered.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
-        rows = [(r.item_id, r.text) for r in block.distinct().collect()]  # bounded by items_per_pass
-        shared = spark.sparkContext.broadcast(rows)
-
-        def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            tables = WordSearch(shared.value, run)
-            for pdf in batches:
-                out = []
+    blocks = max(1, -(-ordered.count() // block_items))
+    shared = []
+    for k in range(blocks):
+        block = ordered if blocks == 1 else ordered.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        shared.append(spark.sparkContext.broadcast([(r.item_id, r.text) for r in block.distinct().collect()]))  # about block_items
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = WordSearch(shared[0].value, run) if len(shared) == 1 else None
+        for pdf in batches:
+            out = []
+            keys, texts = pdf["doc_id"].to_numpy(), [words_of(x) for x in pdf["text"]]
+            for block in shared:
+                search_in = tables or WordSearch(block.value, run)
                 for begin in range(0, len(pdf), chunk):
-                    part = pdf.iloc[begin : begin + chunk]
-                    keys = part["doc_id"].to_numpy()
-                    t, at, pattern = tables.find([words_of(x) for x in part["text"]])
-                    seeds: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-                    for doc, d, p in zip(t.tolist(), at.tolist(), pattern.tolist()):
-                        for item, i in tables.places[p]:
-                            seeds[doc, item].append((i, d))
-                    for (doc, item), pairs in seeds.items():
-                        need = share * tables.lengths[item]
-                        # only items whose seeds can reach the share at all, with gaps between them
-                        if len({i for i, _ in pairs}) + 2 * (run + 4) >= need / 2 and (most := covered(passages(pairs, run))) >= need:
-                            out.append((int(keys[doc]), item, most / tables.lengths[item]))
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "share"])
-
-        hits = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        hits = hits.mapInPandas(search, "doc_id long, item_id long, share double")
-        result = hits if result is None else result.union(hits)
-    return result.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+                    out += [(int(keys[begin + doc]), item, part) for doc, item, part in _hits(search_in, texts[begin : begin + chunk], share, run)]
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "share"])
+
+    hits = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return hits.mapInPandas(search, "doc_id long, item_id long, share double").groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+
+
+def _hits(tables: WordSearch, texts: list[list[str]], share: float, run: int) -> Iterator[tuple[int, int, float]]:
+    """(text, item, share) of the items that the texts hold."""
+    yield from ((doc, item, 1.0) for doc, item in tables.whole(texts))
+    t, at, pattern = tables.find(texts)
+    seeds: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    for doc, d, p in zip(t.tolist(), at.tolist(), pattern.tolist()):
+        for item, i in tables.places[p]:
+            seeds[doc, item].append((i, d))
+    for (doc, item), pairs in seeds.items():
+        need = share * tables.lengths[item]
+        # only items whose seeds can reach the share at all, with gaps between them
+        if len({i for i, _ in pairs}) + 2 * (run + 4) >= need / 2 and (most := covered(passages(pairs, run))) >= need:
+            yield doc, item, most / tables.lengths[item]

@@ -9,10 +9,12 @@ token counts, so that the shares reached differ from the targets by a fraction o
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,14 +30,16 @@ _BINS = 1024
 def with_tokens(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, keep: tuple[str, ...] = ("doc_id", "source", "lang", "topic")) -> DataFrame:
     """The columns ``keep`` and ``tokens``, the number of tokens of the whole ``text``; 0 for null and empty texts.
 
-    ``vocabulary`` is a file of base64 ranks that every executor can read.
+    ``vocabulary`` is a file of base64 ranks on the driver, which is sent to every executor.
     """
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    file = os.path.basename(vocabulary)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*keep).schema) + ", tokens long"
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
+        with open(SparkFiles.get(file), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding("mixing", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
         for pdf in batches:
@@ -95,17 +99,27 @@ def _largest(cells: pd.DataFrame, marginals: dict[str, dict[str, float]], caps:
     return low
 
 
-def _thresholds(extra: float, bins: list[tuple[int, int]]) -> tuple[int, float]:
-    """(whole bins, tokens still wanted) of bins taken from the smallest hash on until ``extra`` tokens are reached."""
-    have = 0
-    for b, tokens in bins:
-        if have + tokens > extra:
-            return b, extra - have
-        have += tokens
-    return _BINS, 0.0
+def _ends(fine: pd.DataFrame) -> pd.DataFrame:
+    """(source, lang, topic, end): up to which fine bin each cell of one source is drawn.
 
+    ``fine`` has the sums of the fine bins of the bin that each cell is cut in; what a cell's last document misses or
+    exceeds goes to the source's next cell.
+    """
+    rows, carry = [], 0.0
+    for (source, lang, topic), cell in fine.groupby(["source", "lang", "topic"], sort=True):
+        if cell["capped"].iloc[0]:  # at its cap a cell can't take over any
+            continue
+        wanted = cell["rest"].iloc[0] + carry
+        cell = cell[cell["f"] >= 0].sort_values("f")
+        have = np.concatenate(([0.0], np.cumsum(cell["tokens"].to_numpy(float))))
+        worse = np.flatnonzero(np.abs(have[1:] - wanted) > np.abs(have[:-1] - wanted))
+        k = int(worse[0]) if len(worse) else len(cell)
+        carry = wanted - have[k]
+        rows.append((source, lang, topic, int(cell["f"].iloc[k - 1]) + 1 if k else 0))
+    return pd.DataFrame(rows, columns=["source", "lang", "topic", "end"])
 
-def mix(documents: DataFrame, targets: DataFrame, *, vocabulary: str = DEFAULT_VOCABULARY, total_tokens: float | None = None, seed: int = 17, max_cells: int = 100_000, languages: dict[str, float] | None = None, topics: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+
+def mix(documents: DataFrame, targets: DataFrame, *, vocabulary: str = DEFAULT_VOCABULARY, total_tokens: float | None = None, seed: int = 17, languages: dict[str, float] | None = None, topics: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
     """(mixture, report).
 
     mixture: (doc_id, source, lang, topic, tokens, copies), one row per drawn document with its number of copies.
@@ -132,9 +146,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, vocabulary: str = DEFAULT_V
         sized = sized.where(F.col(k).isin(*t))
     sized = sized.where("tokens > 0").withColumn("_h", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(_BINS * _BINS)))
     binned = materialize(sized.groupBy("source", "lang", "topic", F.floor(F.col("_h") / _BINS).alias("bin")).agg(F.sum("tokens").alias("tokens")), "bins")
-    cells = binned.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).limit(max_cells + 1).toPandas()
-    if len(cells) > max_cells:
-        raise ValueError(f"more than {max_cells} cells of source, language and topic")
+    cells = binned.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).toPandas()  # one sum per combination
     cells = cells.sort_values(["source", "lang", "topic"]).reset_index(drop=True)
     available = cells.groupby("source")["tokens"].sum().to_dict()
     caps = dict(zip(goal["source"], goal["max_repeats"].astype(float)))
@@ -157,37 +169,20 @@ def mix(documents: DataFrame, targets: DataFrame, *, vocabulary: str = DEFAULT_V
     cells["copies"] = rake(cells, marginals, total, caps) if len(cells) else []
     cells["base"] = np.floor(cells["copies"] + 1e-9).astype("int64") if len(cells) else []
     cells["extra"] = (cells["copies"] - cells["base"]).clip(lower=0) * cells["tokens"] if len(cells) else []
-    # thresholds: whole bins first, then the fine bins of the one that is cut
-    cell_bins: dict[tuple, list[tuple[int, int]]] = {}
-    for r in binned.orderBy("source", "lang", "topic", "bin").toLocalIterator():  # at most max_cells * 1024 sums, one at a time
-        cell_bins.setdefault((r.source, r.lang, r.topic), []).append((r.bin, r.tokens))
-    cuts = [_thresholds(e, cell_bins[s, la, t]) for s, la, t, e in zip(cells["source"], cells["lang"], cells["topic"], cells["extra"])]
-    cells["cut"], cells["rest"] = [c for c, _ in cuts], [w for _, w in cuts]
-    schema = "source string, lang string, topic string, base long, cut long, rest double"
-    rules = spark.createDataFrame([(r.source, r.lang, r.topic, int(r.base), int(r.cut), float(r.rest)) for r in cells.itertuples()], schema)
-    rules = F.broadcast(rules)  # at most max_cells rows
-    ruled = sized.join(rules, ["source", "lang", "topic"])
-    fine = ruled.where(F.floor(F.col("_h") / _BINS) == F.col("cut")).groupBy("source", "lang", "topic", F.pmod("_h", F.lit(_BINS)).alias("f")).agg(F.sum("tokens").alias("tokens"))
-    fine_bins: dict[tuple, list[tuple[int, int]]] = {}
-    for r in fine.orderBy("source", "lang", "topic", "f").toLocalIterator():  # at most max_cells * 1024 sums
-        fine_bins.setdefault((r.source, r.lang, r.topic), []).append((r.f, r.tokens))
-    ends: dict[tuple, int] = {}
-    source, carry = None, 0.0
-    for r in cells.itertuples():  # what a cell's last document misses or exceeds goes to the source's next cell
-        carry = carry if r.source == source else 0.0
-        source = r.source
-        if r.base >= caps[r.source]:  # at its cap a cell can't take over any
-            continue
-        have, wanted = 0.0, r.rest + carry
-        for f, tokens in fine_bins.get((r.source, r.lang, r.topic), ()):
-            if abs(have + tokens - wanted) > abs(have - wanted):
-                break
-            have += tokens
-            ends[r.source, r.lang, r.topic] = f + 1
-        carry = wanted - have
-    finals = [(*c, b, k * _BINS + ends.get(c, 0)) for c, b, k in (((r.source, r.lang, r.topic), int(r.base), int(r.cut)) for r in cells.itertuples())]
-    final = F.broadcast(spark.createDataFrame(finals, "source string, lang string, topic string, base long, below long"))
-    drawn = sized.join(final, ["source", "lang", "topic"]).withColumn("copies", F.col("base") + (F.col("_h") < F.col("below")).cast("long"))
+    # thresholds: whole bins from the smallest hash on, then the fine bins of the one that is cut
+    cell = ["source", "lang", "topic"]
+    rules = spark.createDataFrame([(r.source, r.lang, r.topic, int(r.base), float(r.extra), bool(r.base >= caps[r.source])) for r in cells.itertuples()], "source string, lang string, topic string, base long, extra double, capped boolean")
+    before = F.coalesce(F.sum("tokens").over(Window.partitionBy(*cell).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = binned.withColumn("before", before).join(rules, cell)
+    first = reached.where(F.col("before") + F.col("tokens") > F.col("extra")).groupBy(*cell).agg(F.min(F.struct("bin", (F.col("extra") - F.col("before")).alias("rest"))).alias("at"))
+    cut = rules.join(first.select(*cell, F.col("at.bin").alias("cut"), F.col("at.rest").alias("rest")), cell, "left")
+    cut = materialize(cut.select(*cell, "base", "capped", F.coalesce("cut", F.lit(_BINS)).alias("cut"), F.coalesce("rest", F.lit(0.0)).alias("rest")), "cuts")
+    inside = sized.join(cut.select(*cell, "cut"), cell).where(F.floor(F.col("_h") / _BINS) == F.col("cut"))
+    inside = inside.groupBy(*cell, F.pmod("_h", F.lit(_BINS)).alias("f")).agg(F.sum("tokens").alias("tokens"))
+    fine = cut.select(*cell, "capped", "rest").join(inside, cell, "left").select(*cell, "capped", "rest", F.coalesce("f", F.lit(-1)).cast("long").alias("f"), F.coalesce("tokens", F.lit(0)).cast("double").alias("tokens"))
+    ends = fine.groupBy("source").applyInPandas(_ends, "source string, lang string, topic string, end long")  # at most as many sums as cells times bins
+    final = cut.join(ends, cell, "left").select(*cell, "base", (F.col("cut") * _BINS + F.coalesce("end", F.lit(0))).alias("below"))
+    drawn = sized.join(final, cell).withColumn("copies", F.col("base") + (F.col("_h") < F.col("below")).cast("long"))
     mixture = drawn.where("copies > 0").select("doc_id", "source", "lang", "topic", "tokens", "copies")
     sums_of = mixture.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("largest_copies"))
     whole = F.sum("mixed_tokens").over(Window.partitionBy())  # the report has one row per target

@@ -208,7 +208,7 @@ def name_spans(view: View, gazetteer: Gazetteer) -> Iterator[tuple[int, int, lis
             continue
         title = False
         if i and text[tokens[i - 1][1] : begin].strip(" \n.") == "" and tokens[i - 1][2].lower().rstrip(".") in TITLES and tokens[i - 1][2][0].isupper():
-            title = w[0].isupper() and w.lower() not in TITLES
+            title = w[0].isupper() and w.lower() not in _NEVER_NAMES
         strong = known[i] >= 2 or known[i] == 1 and w[0].isupper()
         initial = w[-1] == "." and w[0].isupper()
         named_after = w[0].isupper() and not w.isupper() and i + 1 < n and follows(i) and tokens[i + 1][2].lower() in EPONYM_NOUNS
@@ -234,6 +234,8 @@ def name_spans(view: View, gazetteer: Gazetteer) -> Iterator[tuple[int, int, lis
                 j += 1
             elif j == i and known[j] in (1, 2) and known[j + 1] == 3 and re.fullmatch(r",\s{1,3}", gap(j)):
                 j += 1
+            elif title and not any(values) and follows(j) and unusual(j) and unusual(j + 1):
+                j += 1
             else:
                 break
             values.append(known[j])
@@ -371,7 +373,7 @@ def candidates(text: str, gazetteer: Gazetteer) -> list[Candidate]:
         organisation = nxt in ORGANISATION or bool(set(words) & ORGANISATION) or (len(after) > 1 and nxt in ("|", "-") and after[1] in ORGANISATION) or prev in ("st", "port", "nether", "lower", "saint")
         votes = (
             1 if len(words) > 1 and cased else 0 if cased or len(known) > 1 else -1,
-            1 if 3 in known and (2 in known or 1 in known or len(known) > 1) else 0 if max(known) >= 1 or len(known) > 1 else -1,
+            1 if 3 in known and (2 in known or 1 in known or len(known) > 1) else 0 if max(known) >= 1 or len(known) > 1 or prev in TITLES else -1,
             1 if prev in TITLES or prev in ROLES or prev == ":" and len(before) > 1 and before[-2] in ROLES or prev == "," and len(before) > 1 and before[-2] in ROLES else 0,
             1 if nxt in AFTER_NAME or nxt in (",", ";", ".") and len(known) > 1 else 0,
             -1 if town or organisation or nxt in EPONYM_NOUNS else 0,

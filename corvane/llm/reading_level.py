@@ -48,7 +48,7 @@ def formula_band(text: str) -> str:
 class BandModels:
     """Unigram models with interpolated smoothing against the words of all bands."""
 
-    def __init__(self, texts: list[list[str]], bands: list[str], background: float = 0.02, max_words: int = 500_000):
+    def __init__(self, texts: list[list[str]], bands: list[str], background: float = 0.02):
         self.names = BANDS
         counts: dict[str, np.ndarray] = {}
         for words, band in zip(texts, bands):
@@ -57,7 +57,7 @@ class BandModels:
                 if (row := counts.get(w)) is None:
                     counts[w] = row = np.zeros(len(BANDS))
                 row[k] += 1
-        kept = sorted(counts, key=lambda w: (-counts[w].sum(), w))[:max_words]
+        kept = sorted(counts, key=lambda w: (-counts[w].sum(), w))
         self.words = {w: i for i, w in enumerate(kept)}
         table = np.array([counts[w] for w in kept]).reshape(-1, len(BANDS)).T + 0.0
         total = np.maximum(table.sum(1, keepdims=True), 1)
@@ -135,7 +135,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, max_texts: int = 5_0
 
 
 def corpus_profile(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(source, band, documents, tokens) of the English documents."""
+    """(source, band, documents, chars) of the English documents."""
     scored = materialize(reading_levels(documents, labels), "levels").groupBy("doc_id").agg(F.first("band").alias("band"))
     return documents.join(scored, "doc_id").groupBy("source", "band").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"))
 

@@ -36,7 +36,7 @@ def test_leaks(spark):
     items = spark.createDataFrame([(70, ITEM, "z"), (71, None, ""), (72, "too short", ""), (70, ITEM, "z")], "item_id long, text string, doc_id string")
     docs = spark.createDataFrame(rows, DOCS)
     for per_pass in (20_000, 1):
-        got = {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items, items_per_pass=per_pass).collect()}
+        got = {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items, block_items=per_pass).collect()}
         assert got == {(k, 70) for k in (1, 2, 4, 5, 9)}
     assert leakage.leaks(docs.limit(0), items).count() == 0 and leakage.leaks(docs, items.where("item_id = 71")).count() == 0
 
@@ -131,3 +131,34 @@ def test_estimation_beats_votes():
         rows.append(v)
     q = privacy.estimate_reliabilities(patterns)
     assert np.mean([(q["name", v] > 0.5) == t for v, t in zip(rows, truth)]) > 0.93
+
+
+def test_short_items_count_as_a_whole(spark):
+    items = spark.createDataFrame([(1, "Aspirin"), (2, "acute renal failure"), (3, ""), (4, "mild persistent asthma")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, "Give aspirin for ACUTE renal, failure."), (11, "renal failure, acute"), (12, None), (13, "persistent asthma")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items).collect()} == {(10, 1), (10, 2)}
+
+
+def test_covered_equals_brute_force():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        found = []
+        for _ in range(rng.randrange(12)):
+            i, d, n = rng.randrange(30), rng.randrange(60), rng.randrange(1, 9)
+            found.append((i, i + n, d, d + n + rng.randrange(2)))
+        most = max([p[1] - p[0] for p in found] + [a[1] - a[0] + b[1] - b[0] for a in found for b in found if a[1] <= b[0] and a[3] <= b[2]], default=0)
+        assert leakage.covered(found) == most
+
+
+def test_names_are_found_without_records(spark):
+    """Without a gazetteer, letters and neighbours tell names."""
+    plain = "the wound was clean and dry and the patient slept well after the dressing was changed by day. "
+    names = ["Belmira Tarnholt", "Oskar Quillby", "Yusra Fennow", "Anselm Drexmore", "Ilka Vostrand"]
+    rows = [(f"t{k}", plain + f"Discussed with Dr {names[k % 5]} on the ward round. {plain}Spoke with {names[(k + 1) % 5]} who agreed.") for k in range(60)]
+    texts = spark.createDataFrame(rows, "id string, text string")
+    records = spark.createDataFrame([], "names array<struct<family: string, given: array<string>>>, addresses array<struct<city: string>>")
+    found = {(r.id, r.start_pos) for r in privacy.mentions(texts, records).where("category = 'name'").collect()}
+    truth = {(i, t.index(n)) for i, t in rows for n in names if n in t}
+    assert len(found & truth) > 0.9 * len(truth) and len(found - truth) < 0.1 * len(truth)
