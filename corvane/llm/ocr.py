@@ -110,11 +110,11 @@ def pair_slot(before: str, word: str) -> int:
 class Corpus:
     """What the corpus knows: word counts, pair counts by slot, lines that recur at page tops, and confusions."""
 
-    def __init__(self, words: dict[str, float], pairs: np.ndarray, headers: frozenset[str], headings: frozenset[str], header_words: frozenset[str], confusions: dict[str, tuple[tuple[str, float], ...]]):
+    def __init__(self, words: dict[str, float], pairs: tuple[np.ndarray, np.ndarray], headers: frozenset[str], headings: frozenset[str], header_words: frozenset[str], confusions: dict[str, tuple[tuple[str, float], ...]]):
         self.words, self.headers, self.headings, self.header_words, self.confusions = words, headers, headings, header_words, confusions
         self.sorted = sorted(words)
         self.total = sum(words.values()) + 1.0
-        self.pairs = pairs
+        self.slots, self.pair_counts = pairs  # slots in order
         self.cache: dict[str, list[tuple[str, float]]] = {}
         self.pair_cache: dict[tuple[str, str], float] = {}
         self.token_cache: dict[str, tuple] = {}
@@ -131,7 +131,11 @@ class Corpus:
             return known
         p = base = self.unigram(word)
         if (first := self.words.get(before)) is not None:
-            c = float(self.pairs[pair_slot(before, word)]) if word in self.words else 0.0
+            c = 0.0
+            if word in self.words:
+                slot = pair_slot(before, word)
+                k = int(self.slots.searchsorted(slot))
+                c = float(self.pair_counts[k]) if k < len(self.slots) and self.slots[k] == slot else 0.0
             p = 0.6 * min(1.0, c / max(first, 0.05)) + 0.4 * base
         value = math.log(max(p, 1e-12))
         if len(self.pair_cache) > 500_000:
@@ -455,7 +459,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _expected(words: DataFrame, corpus: Corpus) -> dict[tuple[str, str], float]:
     """How often each confusion is expected to have happened, given the current model, over the words that only scanned texts have."""
-    shared = words.sparkSession.sparkContext.broadcast(corpus)
+    none = np.zeros(0, np.int32), np.zeros(0, np.float32)
+    shared = words.sparkSession.sparkContext.broadcast(Corpus(corpus.words, none, frozenset(), frozenset(), frozenset(), corpus.confusions))
 
     def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c, sums = shared.value, Counter()
@@ -486,10 +491,10 @@ def learn(texts: DataFrame, rounds: int = 2) -> Corpus:
     vocabulary = words.where(known).select("key", "clean", "scanned").toPandas()
     # a word that only scanned texts have may be a misreading and weighs little
     table = dict(zip(vocabulary["key"], (vocabulary["clean"] + 0.05 * vocabulary["scanned"]).tolist()))
-    pairs = np.zeros(1 << _PAIR_BITS, np.float32)
     # a pair that occurs once may be what is to be judged itself
     slots = counts.where("kind = 'pair' and clean + scanned >= 2").select("slot", (F.col("clean") + 0.05 * F.col("scanned")).cast("float").alias("n")).toPandas()  # at most the slots
-    pairs[slots["slot"].to_numpy(np.int64)] = slots["n"].to_numpy(np.float32)
+    order = np.argsort(slots["slot"].to_numpy(), kind="stable")
+    pairs = slots["slot"].to_numpy(np.int32)[order], slots["n"].to_numpy(np.float32)[order]
     lines = counts.where("kind = 'line'").where((F.col("scanned") >= 3) & (F.col("clean") * 20 <= F.col("scanned")) | (F.col("clean") >= 2) & (F.col("clean") * 20 > F.col("scanned"))).select("key", (F.col("clean") * 20 <= F.col("scanned")).alias("header")).toPandas()
     headers = frozenset(lines["key"][lines["header"]])
     # words of recurring headers, unless other lines at page tops have them as often
