@@ -90,14 +90,19 @@ class Metric:
         return {"metric": f"{self.name}@1.0.0", "fact": self.fact, "measure": self.measure, "column": self.column, "filters": [list(f) for f in self.filters], "group_by": list(self.group_by)}
 
 
+def date_parts(date_key: Column) -> dict[str, Column]:
+    """The attributes of the date dimension as functions of a key yyyymmdd; null for a key that is no date."""
+    d = F.try_to_timestamp(date_key.cast("string"), F.lit("yyyyMMdd")).cast("date")
+    return {
+        "date": d, "month": F.date_format(d, "yyyy-MM"), "quarter": F.concat(F.year(d), F.lit("-Q"), F.quarter(d)), "year": F.year(d).cast("long"),
+        "day_of_week": F.date_format(d, "EEEE"), "is_weekend": F.dayofweek(d).isin(1, 7),
+    }
+
+
 def dim_date(facts: DataFrame, column: str = "date_key") -> DataFrame:
     """The date dimension of the dates that occur, keyed by yyyymmdd."""
-    d = F.try_to_timestamp(F.col("date_key").cast("string"), F.lit("yyyyMMdd")).cast("date")
-    days = facts.select(F.col(column).alias("date_key")).where("date_key is not null").distinct().withColumn("date", d)
-    return days.select(
-        "date_key", "date", F.date_format("date", "yyyy-MM").alias("month"), F.concat(F.year("date"), F.lit("-Q"), F.quarter("date")).alias("quarter"),
-        F.year("date").cast("long").alias("year"), F.date_format("date", "EEEE").alias("day_of_week"), F.dayofweek("date").isin(1, 7).alias("is_weekend"),
-    )
+    days = facts.select(F.col(column).alias("date_key")).where("date_key is not null").distinct()
+    return days.select("date_key", *[c.alias(n) for n, c in date_parts(F.col("date_key")).items()])
 
 
 def group_columns(facts: DataFrame, metric: Metric, group_by: tuple[str, ...], dims: dict[str, DataFrame], schema: Schema = CLINICAL) -> tuple[DataFrame, list[str]]:
@@ -113,6 +118,10 @@ def group_columns(facts: DataFrame, metric: Metric, group_by: tuple[str, ...], d
         else:
             wanted.setdefault((via, where), []).append((name, col.name))
     for (via, where), cols in wanted.items():
+        if where == "dim_date" and where not in dims:  # the date dimension is a function of its key
+            parts = date_parts(F.col(via))
+            facts = facts.withColumns({n: F.when(F.col(via).isNull(), "unknown").otherwise(parts[c].cast("string")) for n, c in cols})
+            continue
         d = dims[where].dropDuplicates([schema.dimensions[where].key]).select(F.col(schema.dimensions[where].key).alias("_k"), F.lit(True).alias("_hit"), *[F.col(c).cast("string").alias(n) for n, c in cols])
         facts = facts.join(d, facts[via] == F.col("_k"), "left")
         for n, _ in cols:
@@ -151,13 +160,16 @@ def measure(facts: DataFrame, metric: Metric, keys: list[str]) -> DataFrame:
 
 def run_metric(
     metric: Metric, fact: DataFrame, dims: dict[str, DataFrame], organization_id: str | None = None, group_by: tuple[str, ...] | None = None,
-    date_from: int | None = None, date_to: int | None = None, schema: Schema = CLINICAL,
+    date_from: int | None = None, date_to: int | None = None, schema: Schema = CLINICAL, every_organization: bool = False, max_scan_rows: int | None = None, with_total: bool = False,
 ) -> DataFrame:
-    """(group columns…, value, subjects, suppressed, reason): a metric after disclosure control.
+    """(group columns…, value, subjects, suppressed, reason): a metric after disclosure control, in one scan of the fact.
 
-    One organisation's rows if given (a blank one is refused); an inclusive range of date keys, which drops null
-    ones. Without rows the result is empty.
+    The rows of one organisation, which must be named and not blank; only ``every_organization``, for the operator of the
+    platform, reads all. An inclusive range of date keys drops null ones. With ``max_scan_rows`` an organisation of more
+    rows, in any range, is refused. ``with_total`` adds the total, or that it is withheld. Without rows the result is empty.
     """
+    if organization_id is None and not every_organization:
+        raise ValueError("a metric needs an organisation")
     metric.validate(schema)
     group_by = metric.group_by if group_by is None else tuple(group_by)
     metric.check_grouping(group_by, schema)
@@ -165,6 +177,8 @@ def run_metric(
         if not organization_id.strip():
             raise ValueError("a blank organisation has no rows")
         fact = fact.where(F.col("organization_id") == organization_id)
+    if max_scan_rows is not None and fact.limit(max_scan_rows + 1).count() > max_scan_rows:
+        raise ValueError(f"more than {max_scan_rows} rows to scan")
     if date_from is not None and date_to is not None and date_to < date_from:
         raise ValueError("the range ends before it begins")
     if date_from is not None:
@@ -172,9 +186,8 @@ def run_metric(
     if date_to is not None:
         fact = fact.where(F.col("date_key") <= date_to)
     rows, keys = group_columns(fact, metric, group_by, dims, schema)
-    cells = measure(rows, metric, keys)
-    total = measure(rows, metric, []).select(F.col("value").alias("total"))
-    return suppress(cells, total, keys, metric.minimum_cell, metric.measure in ADDITIVE)
+    # additive cells add up to the total; other measures need none
+    return suppress(measure(rows, metric, keys), None, keys, metric.minimum_cell, metric.measure in ADDITIVE, with_total=with_total)
 
 
 def _m(name: str, fact: str, measure_: str, group_by: str, allowed: str = "", **k: object) -> Metric:
