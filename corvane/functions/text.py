@@ -10,14 +10,16 @@ TYPOGRAPHIC = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"
 STOP_WORDS = ("a", "an", "the", "of", "to", "in", "on", "at", "for", "and", "or", "is", "are", "was", "were", "be", "been", "this", "that", "these", "those", "with", "as", "by")
 ENGLISH_MARKERS = ("the", "and", "of", "to", "in", "with", "was", "for", "on", "is", "no", "patient")
 PERSONAL_PATTERNS = {
-    "address": r"(?i)\b\d{1,5}\s+[A-Z][a-z]+\s+(?:st|street|ave|avenue|rd|road)\b",
-    "date_of_birth": r"(?i)\b(?:dob|date of birth)\b[:\s]*\d",
-    "email": r"\b[\w.+-]+@[\w-]+\.[\w.]{2,}\b",
     "mrn": r"(?i)\b(?:mrn|medical record (?:number|no\.?))\b[:\s#]*[A-Z0-9-]{4,}",
-    "patient_name": r"(?i)\b(?:patient name|name)\s*:\s*[A-Z][a-z]+",
-    "phone": r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
+    "phone": r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4}\b",
+    "email": r"\b[\w.+-]+@[\w-]+\.[\w.]{2,}\b",
+    "date_of_birth": r"(?i)\b(?:dob|date of birth)\b[:\s]*\d",
+    "patient_name": r"(?i)\b(?:patient name|name)\s*:\s*[A-Z][a-z]+",
+    "address": r"(?i)\b\d{1,5}\s+[A-Z][a-z]+\s+(?:st|street|ave|avenue|rd|road)\b",
 }
+#: A line in capitals.
+HEADING = r"^[A-Z][A-Z /&-]{2,}$"
 
 
 def normalise(text: Column, dehyphenate: bool = True) -> Column:
@@ -104,5 +106,5 @@ def headings(documents: DataFrame, longest: int = 80) -> DataFrame:
 
     w = Window.partitionBy("doc_id").orderBy("n")
     at = lines.withColumn("position", F.coalesce(F.sum(F.length("line") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    heads = at.where(F.trim("line").rlike(r"^[A-Z][A-Z /&-]{2,}$") & (F.length("line") <= longest))
+    heads = at.where(F.trim("line").rlike(HEADING) & (F.length("line") <= longest))
     return heads.select("doc_id", F.col("position").cast("long").alias("position"), F.trim("line").alias("heading"), (F.coalesce(F.lead("position").over(w), F.col("size")) - F.col("position")).cast("long").alias("length"))

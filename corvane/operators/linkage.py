@@ -19,3 +19,9 @@ def pair_scores(comparisons: DataFrame) -> DataFrame:
     total = strongest.groupBy("pair_id").agg(F.round(F.sum("w"), 4).alias("score"))
     every = comparisons.select("pair_id").distinct().join(total, "pair_id", "left")
     return every.select("pair_id", F.coalesce("score", F.lit(0.0)).alias("score"), zone(F.coalesce("score", F.lit(0.0))).alias("score_zone"))
+
+
+def identifier_conflicts(identifiers: DataFrame, holder: str) -> DataFrame:
+    """(system, value, holders): identifiers that more than one holder has. Null and empty values and null holders are left out."""
+    rows = identifiers.where(F.col(holder).isNotNull() & (F.col("value") != "")).select(holder, "system", "value").distinct()
+    return rows.groupBy("system", "value").agg(F.count("*").alias("holders")).where("holders > 1")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,23 +116,34 @@ def rank_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFra
     )
 
 
-_TOKEN = re.compile(r"[a-z0-9]+(?:[./-][a-z0-9]+)*")
+_EMBEDDED_WORD = re.compile(r"[^\W_]+")
 
 
-def embed_text(text: str | None, dimensions: int = 384, size: int = 4) -> np.ndarray:
-    """Signed feature hashing of tokens and character runs with sublinear counts; a unit vector, uniform for an empty text."""
-    features = Counter()
-    for token in _TOKEN.findall((text or "").lower()):
-        features[token] += 1
-        if len(token) > size:
-            padded = f"^{token}$"
-            features.update(f"#{padded[i : i + size]}" for i in range(len(padded) - size + 1))
-    vector = np.zeros(dimensions)
-    for feature, n in features.items():
-        d = hashlib.sha1(feature.encode()).digest()
-        vector[int.from_bytes(d[:4], "big") % dimensions] += (1 if d[4] & 1 else -1) * (1 + math.log(n))
-    norm = np.linalg.norm(vector)
-    return vector / norm if norm else np.full(dimensions, 1 / math.sqrt(dimensions))
+def embed_batch(texts: list[str | None], dimensions: int = 384) -> np.ndarray:
+    """One row per text: words and neighbouring word pairs as hashed features, damped by a square root; unit length.
+
+    Every feature adds its damped count, pairs half of it, to two places, with signs of their own. A null text and one
+    without words give the zero vector. The vectors are only comparable with others made here.
+    """
+    words = [_EMBEDDED_WORD.findall(t.lower()) if isinstance(t, str) else [] for t in texts]
+    features = [w + [f"{a} {b}" for a, b in zip(w, w[1:])] for w in words]
+    rows = np.repeat(np.arange(len(texts)), [len(f) for f in features])
+    out = np.zeros((len(texts), dimensions))
+    if not len(rows):
+        return out
+    codes, names = pd.factorize(np.array([x for f in features for x in f], object))
+    hashed = pd.util.hash_array(np.asarray(names, object), categorize=False)
+    weight = np.where([" " in n for n in names], 0.5, 1.0)
+    pairs, counts = np.unique(rows.astype(np.int64) * len(names) + codes, return_counts=True)
+    row, code = pairs // len(names), pairs % len(names)
+    value = np.sqrt(counts) * weight[code]
+    for shift in (0, 32):
+        part = hashed[code] >> np.uint64(shift)
+        at = (part % np.uint64(dimensions)).astype(np.int64)
+        sign = np.where((part >> np.uint64(31)) & np.uint64(1), 1.0, -1.0)
+        np.add.at(out, (row, at), sign * value)
+    size = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(size == 0, 1, size)
 
 
 def embed(documents: DataFrame, dimensions: int = 384) -> DataFrame:
@@ -142,7 +151,7 @@ def embed(documents: DataFrame, dimensions: int = 384) -> DataFrame:
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"digest": pdf["digest"], "embedding": [embed_text(t, dimensions).astype("float32") for t in pdf["text"]]})
+            yield pd.DataFrame({"digest": pdf["digest"], "embedding": list(embed_batch(pdf["text"].tolist(), dimensions).astype("float32"))})
 
     d = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.sha2("text", 256))
     once = d.groupBy("digest").agg(F.first("text").alias("text")).mapInPandas(vectors, "digest string, embedding array<float>")
@@ -180,3 +189,40 @@ def pack_context(candidates: DataFrame, budget: int = 5000, blocks: int = 20) ->
             yield batch.take(pa.array(kept, pa.int64()))
 
     return walk.mapInArrow(fill, "query_id long, id string, rank long, tokens long")
+
+
+def filtered(rows: DataFrame, **wanted: object) -> DataFrame:
+    """Rows whose columns hold the wanted value, or one of a list of them; a null never does.
+
+    Applied before statistics and scores, as it defines what is searched. An unknown column is refused.
+    """
+    if missing := set(wanted) - set(rows.columns):
+        raise ValueError(f"unknown columns {sorted(missing)}")
+    for name, value in wanted.items():
+        rows = rows.where(F.col(name).isin(*value) if isinstance(value, (list, tuple, set)) else F.col(name) == value)
+    return rows
+
+
+def tenant_check(candidates: DataFrame, tenants: DataFrame, query: str = "query_id", tenant: str = "tenant_id") -> tuple[DataFrame, DataFrame]:
+    """(candidates of their query's own tenant, (query, rejected) counts of the others); a null tenant is another one."""
+    own = tenants.select(query, F.col(tenant).alias("_own")).distinct()
+    marked = candidates.join(own, query).withColumn("_ok", F.coalesce(F.col(tenant) == F.col("_own"), F.lit(False)))
+    return marked.where("_ok").drop("_own", "_ok"), marked.groupBy(query).agg(F.count_if(~F.col("_ok")).alias("rejected"))
+
+
+def relative_score(candidates: DataFrame, now: Column, fusion_weight: float = 3.0, fresh_weight: float = 0.5) -> DataFrame:
+    """(query_id, id, score): fusion relative to the query's best, and freshness, weighted."""
+    top = F.max("fused_score").over(Window.partitionBy("query_id"))
+    fusion = F.col("fused_score") / F.when(top > 0, top).otherwise(1.0)
+    return candidates.select("query_id", "id", F.round((fusion_weight * fusion + fresh_weight * freshness(F.col("effective_date"), now)) / (fusion_weight + fresh_weight), 6).alias("score"))
+
+
+def above_floor(candidates: DataFrame, least: float = 0.5) -> DataFrame:
+    """Candidates that some strategy scores at least ``least``; without scores they are left out."""
+    return candidates.where(F.exists(F.map_values("scores"), lambda s: s >= least))
+
+
+def evaluation_summary(cases: DataFrame, metrics: list[str], latency: str) -> DataFrame:
+    """One row: the mean of each metric over the cases that have it, and the latencies p50 and p95 by nearest rank, rounded up."""
+    means = [F.round(F.avg(m), 6).alias(m) for m in metrics]
+    return cases.agg(F.count("*").alias("cases"), *means, *[F.expr(f"percentile_disc({p}) within group (order by `{latency}`)").alias(f"p{round(p * 100)}") for p in (0.5, 0.95)])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 from ..functions.deidentify import age_band, cohort_prefix, pseudonym
-from ..operators import graph, retrieval, series
+from ..operators import graph, loads, population, retrieval, series
 from ..operators.linkage import pair_scores
 from ..session import table
 from ..streaming import events as ev
@@ -87,17 +87,11 @@ def r_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r_relevance_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _candidates(spark, sf_dir)
-    return c.where(F.exists(F.map_values("scores"), lambda s: s >= 0.5)).select("query_id", "id")
+    return retrieval.above_floor(_candidates(spark, sf_dir)).select("query_id", "id")
 
 
 def r_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fusion relative to the query's best, and freshness, weighted."""
-    c = _candidates(spark, sf_dir)
-    top = F.max("fused_score").over(Window.partitionBy("query_id"))
-    fusion = F.col("fused_score") / F.when(top > 0, top).otherwise(1.0)
-    fresh = retrieval.freshness(F.col("effective_date"), F.lit("2026-06-01").cast("date"))
-    return c.select("query_id", "id", F.round((3.0 * fusion + 0.5 * fresh) / 3.5, 6).alias("score"))
+    return retrieval.relative_score(_candidates(spark, sf_dir), F.lit("2026-06-01").cast("date"))
 
 
 def r_ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +143,7 @@ def g_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g_bfs_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     starts = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
-    return graph.traverse(_edges(spark, sf_dir), starts, hops=2, per_node=100_000)
+    return graph.traverse(_edges(spark, sf_dir), starts, hops=2)
 
 
 # --- series, rules, populations
@@ -178,29 +172,19 @@ def u_rules_3vl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of persons with at least one abnormal final result per code; small numerators are withheld."""
-    o = table(spark, sf_dir, "fact_observation").where("patient_key is not null")
-    per = o.groupBy("code_key", "patient_key").agg(F.max(F.coalesce(F.col("is_abnormal") & (F.col("status") == "final"), F.lit(False))).alias("has"))
-    r = per.groupBy("code_key").agg(F.count_if("has").alias("n"), F.count("*").alias("persons"))
-    return r.select("code_key", "persons", F.when((F.col("n") == 0) | (F.col("n") >= 11), F.round(F.col("n") / F.col("persons"), 4)).alias("prevalence"))
+    return population.prevalence(table(spark, sf_dir, "fact_observation"), "code_key", "patient_key", F.col("is_abnormal") & (F.col("status") == "final"))
 
 
 def p_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "fact_observation").where("patient_key is not null")
-    n = o.groupBy("patient_key").agg(F.countDistinct(F.when(F.col("is_abnormal"), F.col("code_key"))).alias("n"))
-    segment = F.when(F.col("n") >= 6, "complex").when(F.col("n") >= 4, "high").when(F.col("n") >= 2, "rising").otherwise("low")
-    return n.groupBy(segment.alias("segment")).agg(F.count("*").alias("persons"))
+    abnormal = F.when(F.col("is_abnormal"), F.col("code_key"))
+    return population.segment(table(spark, sf_dir, "fact_observation"), "patient_key", abnormal, ((6, "complex"), (4, "high"), (2, "rising")), "low")
 
 
 def p_measure_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Population, denominator, exclusions, numerator and exceptions per customer segment."""
     o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.max((F.col("o_orderstatus") == "P").cast("int")).alias("pending"), F.max((F.col("o_totalprice") > 300000).cast("int")).alias("large"), F.max((F.col("o_orderpriority") == "1-URGENT").cast("int")).alias("urgent"))
     f = table(spark, sf_dir, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
-    den = F.coalesce(F.col("orders") > 0, F.lit(False))
-    exc = den & (F.col("pending") == 1)
-    num = den & ~exc & (F.col("large") == 1)
-    out = den & ~exc & ~num & (F.col("urgent") == 0)
-    g = f.groupBy("c_mktsegment").agg(F.count("*").alias("population"), F.count_if(den).alias("denominator"), F.count_if(exc).alias("exclusions"), F.count_if(num).alias("numerator"), F.count_if(out).alias("exceptions"))
-    return g.withColumn("rate", F.round(F.col("numerator") / F.nullif(F.col("denominator") - F.col("exclusions") - F.col("exceptions"), F.lit(0)), 4))
+    return population.measure_cascade(f, "c_mktsegment", F.col("orders") > 0, F.col("pending") == 1, F.col("large") == 1, F.col("urgent") == 0)
 
 
 # --- loads and streams
@@ -218,15 +202,11 @@ def e_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e_dedup_natural_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations loaded once: of each key the earliest load, null keys rejected."""
-    o = table(spark, sf_dir, "fact_observation").where("observation_key is not null")
-    return o.groupBy("observation_key").agg(F.min("load_id").alias("load_id"), F.count("*").alias("loads"))
+    return loads.once_per_key(table(spark, sf_dir, "fact_observation"), "observation_key", "load_id")
 
 
 def e_load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "fact_observation")
-    first = o.groupBy("observation_key").agg(F.min("load_id").alias("first"))
-    j = o.join(first, "observation_key")
-    return j.groupBy("load_id").agg(F.count("*").alias("received"), F.count_if(F.col("load_id") == F.col("first")).alias("loaded"), F.count_if(F.col("load_id") != F.col("first")).alias("duplicates"))
+    return loads.load_report(table(spark, sf_dir, "fact_observation"), "observation_key", "load_id")
 
 
 def s_order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,17 +226,14 @@ def s_sliding_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def s_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative buckets per event type."""
-    e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(*[F.count_if(F.col("value") <= b).alias(f"le_{b}") for b in (1, 5, 10, 50, 100)], F.count("*").alias("n"))
+    return population.histogram(table(spark, sf_dir, "events"), "event_type", "value", (1, 5, 10, 50, 100))
 
 
 def a_audit_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chain whose every 97th row was altered: the altered rows are found."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("tenant"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("payload"))
-    w = Window.partitionBy("tenant").orderBy("seq")
-    o = o.withColumn("previous_hash", F.coalesce(F.sha2(F.lag("seq").over(w).cast("string"), 256), F.lit("")))
-    own = F.when(F.col("seq") % 97 == 0, F.lit("altered")).otherwise(F.sha2(F.concat_ws("|", "previous_hash", "payload"), 256))
-    return ev.verify_chain(o.withColumn("row_hash", own), "tenant", "seq").groupBy("tenant").agg(F.count("*").alias("broken"))
+    """Valid chains, one per customer, of which every row with a key divisible by 97 was altered afterwards: these rows are found."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("tenant"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("payload"))
+    altered = F.when(F.col("seq") % 97 == 0, F.concat("payload", F.lit(" altered"))).otherwise(F.col("payload"))
+    return ev.verify_chain(ev.chained(o, "tenant", "seq").withColumn("payload", altered), "tenant", "seq").select("tenant", "seq")
 
 
 _NAMES = """t_terms t_token_estimate t_language t_personal_flags t_normalised_length t_exact_copies t_headings t_furniture t_garbled r_bm25_topk r_vector_topk r_rrf r_relevance_floor r_rerank r_ir_metrics
@@ -271,6 +248,18 @@ _COS = "SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(greatest(0, least
 _TOP = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM ({_COS}) QUALIFY rank <= 10"
 _TERMS = r"list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+(?:[./-][a-z0-9]+)*'), lambda w: w NOT IN ({1}))"
 
+
+
+def _normalised_sql() -> str:
+    x = "text"
+    for source, target in text.TYPOGRAPHIC.items():
+        x = "replace({0}, '{1}', '{2}')".format(x, source.replace("'", "''"), target.replace("'", "''"))
+    steps = ((r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "''"), (r"\r\n?", "chr(10)"), (r"(\w)-[ \t]*\n\s*([a-z])", r"'\1\2'"), (r"[ \t]{2,}", "' '"), (r"\n{3,}", "chr(10) || chr(10)"), (r"(?m)[ \t]+$", "''"))
+    for pattern, target in steps:
+        x = f"regexp_replace({x}, '{pattern}', {target}, 'g')"
+    return f"SELECT id, length(trim({x}, ' ' || chr(10) || chr(9))) AS length FROM (SELECT DISTINCT id, text FROM retrieval_candidate)"
+
+
 SQL = {
     "t_terms": f"SELECT term, count(*) AS n FROM (SELECT unnest({_TERMS.format('text', _STOP)}) AS term FROM documents) GROUP BY term",
     "t_token_estimate": r"SELECT doc_id, (coalesce(list_sum(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: ceil(length(w) / 4))), 0) + len(regexp_extract_all(text, '[^\p{L}\p{N}_\s]')))::BIGINT AS tokens FROM documents",
@@ -331,6 +320,8 @@ CASE WHEN z = '' THEN 'unknown' WHEN substr(z, 1, 3) IN ('036', '059', '102', '2
 SELECT event_id, seq, expected, CASE WHEN seq > expected THEN 'gap' ELSE 'regression' END AS violation FROM x WHERE seq <> expected""",
     "s_sliding_rates": "WITH w AS (SELECT time_bucket(INTERVAL 3 HOUR, ts) - INTERVAL 3 HOUR * i AS window_start, value FROM events, range(0, 2) r(i)) SELECT window_start, count(*) AS events, round(sum(value), 2) AS total FROM w GROUP BY window_start",
     "s_histogram": "SELECT event_type, " + ", ".join(f"count(*) FILTER (WHERE value <= {b}) AS le_{b}" for b in (1, 5, 10, 50, 100)) + ", count(*) AS n FROM events GROUP BY event_type",
-    "a_audit_chain": "SELECT o_orderstatus AS tenant, count(*) AS broken FROM (SELECT o_orderstatus, o_orderkey FROM orders) GROUP BY o_orderstatus",
+    "a_audit_chain": "SELECT o_custkey AS tenant, o_orderkey AS seq FROM orders WHERE o_orderkey % 97 = 0",
+    "t_normalised_length": _normalised_sql(),
+    "t_garbled": r"SELECT id, (length(text) - length(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{FFFD}]|\p{Cf}|\p{Co}', '', 'g')))::BIGINT AS garbled, (length(text) - length(regexp_replace(text, '[ \t\n\r\f\v]', '', 'g')))::BIGINT AS blanks FROM (SELECT DISTINCT id, text FROM retrieval_candidate)",
+    "s_partition_offsets": "SELECT (('0x' || substr(sha256(event_type), 1, 8))::BIGINT % 8)::INT AS partition, count(*) AS n, count(*) - 1 AS last FROM events WHERE event_type IS NOT NULL GROUP BY 1",
 }
-del SQL["a_audit_chain"]  # its hashes are checked in the tests
