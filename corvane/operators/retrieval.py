@@ -9,10 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from ..session import materialize
 
 
 def bm25(documents: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -21,14 +22,16 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5,
     Statistics come from the given documents, so filter them first. Repeated query terms count twice. Only the postings of
     query terms are joined; per-document scores are partial sums before the ranking. Ties go to the smaller doc_id.
     """
-    tokens = documents.where("text is not null").select("doc_id", terms(F.col("text")).alias("t")).withColumn("n", F.size("t"))
-    stats = tokens.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).first()  # two numbers
+    seen = Observation()
+    tokens = documents.where("text is not null").select("doc_id", terms(F.col("text")).alias("t")).withColumn("n", F.size("t")).observe(seen, F.count("*").alias("docs"), F.sum("n").alias("tokens"))
     wanted = queries.select("query_id", F.explode(terms(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     vocabulary = wanted.select("term").distinct()
-    tf = tokens.select("doc_id", "n", F.explode("t").alias("term")).join(vocabulary, "term", "left_semi").groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
+    # texts are split once, and the postings of query terms alone are shuffled
+    postings = tokens.select("doc_id", "n", F.explode("t").alias("term")).join(vocabulary, "term", "left_semi")
+    tf = materialize(postings.groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf")), "postings")
+    docs, mean = seen.get["docs"], (seen.get["tokens"] or 0) / max(1, seen.get["docs"]) or 1.0  # of the same pass
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.select("term", F.log1p((stats.docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    mean = stats["mean"] or 1.0
+    idf = df.select("term", F.log1p((F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     hit = tf.join(idf, "term").select("doc_id", "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / mean))).alias("s"))
     scored = hit.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("s") * F.col("times")), 6).alias("score")).where("score > 0")
     return top_k(scored, k)

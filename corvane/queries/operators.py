@@ -63,7 +63,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25(table(spark, sf_dir, "documents").where("lang = 'en'"), _questions(spark, sf_dir), k=5)
+    return retrieval.bm25(table(spark, sf_dir, "documents"), _questions(spark, sf_dir), k=5)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -118,7 +118,7 @@ def l_pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l_jaro_winkler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "field_comparison").where("field_name in ('family_name', 'given_name') and left_value <> '' and right_value <> ''").select("left_value", "right_value").distinct()
+    c = table(spark, sf_dir, "field_comparison").where("left_value <> '' and right_value <> ''").select("left_value", "right_value").distinct()
     return c.select("left_value", "right_value", F.round(similarity.jaro_winkler("left_value", "right_value"), 6).alias("similarity"))
 
 
@@ -270,7 +270,7 @@ SQL = {
 p AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS position FROM l),
 h AS (SELECT * FROM p WHERE regexp_matches(trim(line), '^[A-Z][A-Z /&-]{2,}$') AND length(line) <= 80)
 SELECT doc_id, position, trim(line) AS heading, (coalesce(lead(position) OVER (PARTITION BY doc_id ORDER BY n), size) - position)::BIGINT AS length FROM h""",
-    "r_bm25_topk": f"""WITH d AS (SELECT doc_id, {_TERMS.format('text', _STOP)} AS t FROM documents WHERE lang = 'en'), st AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM d),
+    "r_bm25_topk": f"""WITH d AS (SELECT doc_id, {_TERMS.format('text', _STOP)} AS t FROM documents WHERE text IS NOT NULL), st AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM d),
 tf AS (SELECT doc_id, len(any_value(t)) AS n, term, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS term FROM d) GROUP BY doc_id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS.format('text', _STOP)}) AS term FROM eval_item) GROUP BY ALL),
 s AS (SELECT query_id, doc_id, round(sum(times * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / mean))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL)
@@ -289,7 +289,7 @@ round(coalesce(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, least(n, 10) + 1
 s AS (SELECT pair_id, g, arg_max(weight, abs(weight)) AS w FROM c GROUP BY ALL), t AS (SELECT pair_id, round(sum(w), 4) AS score FROM s GROUP BY pair_id),
 a AS (SELECT DISTINCT f.pair_id, coalesce(t.score, 0) AS score FROM field_comparison f LEFT JOIN t USING (pair_id))
 SELECT pair_id, score, CASE WHEN score >= 16 THEN 'match' WHEN score <= 6 THEN 'non_match' ELSE 'review' END AS score_zone FROM a""",
-    "l_jaro_winkler": "SELECT DISTINCT left_value, right_value, round(jaro_similarity(left_value, right_value) + (SELECT coalesce(max(k), 0) FROM range(1, 5) r(k) WHERE k <= least(length(left_value), length(right_value)) AND left_value[1:k] = right_value[1:k]) * 0.1 * (1 - jaro_similarity(left_value, right_value)), 6) AS similarity FROM field_comparison WHERE field_name IN ('family_name', 'given_name') AND left_value <> '' AND right_value <> ''",
+    "l_jaro_winkler": "SELECT DISTINCT left_value, right_value, round(jaro_similarity(left_value, right_value) + (SELECT coalesce(max(k), 0) FROM range(1, 5) r(k) WHERE k <= least(length(left_value), length(right_value)) AND left_value[1:k] = right_value[1:k]) * 0.1 * (1 - jaro_similarity(left_value, right_value)), 6) AS similarity FROM field_comparison WHERE left_value <> '' AND right_value <> ''",
     "l_date_similarity": """SELECT DISTINCT left_value, right_value, CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN a = b THEN 1.0::DOUBLE WHEN year(a) = year(b) AND month(a) = day(b) AND day(a) = month(b) THEN 0.8::DOUBLE
 WHEN (year(a) = year(b) AND month(a) = month(b)) OR (month(a) = month(b) AND day(a) = day(b) AND abs(year(a) - year(b)) = 1) THEN 0.55::DOUBLE ELSE 0.0::DOUBLE END AS similarity
 FROM (SELECT left_value, right_value, try_cast(left_value AS DATE) AS a, try_cast(right_value AS DATE) AS b FROM field_comparison WHERE field_name = 'birth_date')""",

@@ -267,7 +267,7 @@ SELECT doc_id, CASE WHEN chars < 24 OR bad > 0.02 OR score < 0.6 THEN 'fail' ELS
 SELECT g AS "group", partition, c::BIGINT AS committed, e AS "end", (e - c)::BIGINT AS lag FROM c""",
     "k_replay": f'SELECT event_id, key, "offset" FROM ({_LOG}) WHERE partition = 1 AND "offset" >= 100',
     "k_poll": f'SELECT event_id, partition, "offset" FROM ({_LOG}) WHERE "offset" >= CASE WHEN partition < 3 THEN partition * 10 ELSE 0 END AND "offset" < CASE WHEN partition < 3 THEN partition * 10 ELSE 0 END + 25',
-    "r_bm25_filtered": OPERATORS["r_bm25_topk"].replace("lang = 'en'", "lang = 'en' AND document_type = 'referral'").replace("rank <= 5", "rank <= 3"),
+    "r_bm25_filtered": OPERATORS["r_bm25_topk"].replace("text IS NOT NULL", "text IS NOT NULL AND lang = 'en' AND document_type = 'referral'").replace("rank <= 5", "rank <= 3"),
     "r_tenant_check": "WITH c AS (SELECT DISTINCT query_id, id, tenant_id FROM retrieval_candidate), o AS (SELECT query_id, min(tenant_id) AS t FROM c GROUP BY query_id) SELECT query_id, count(*) FILTER (WHERE tenant_id IS DISTINCT FROM t OR t IS NULL) AS rejected FROM c JOIN o USING (query_id) GROUP BY query_id",
     "r_eval_summary": "SELECT count(*) AS cases, round(avg(fused), 6) AS fused, round(avg(best), 6) AS best, quantile_disc(latency, 0.5) AS p50, quantile_disc(latency, 0.95) AS p95 FROM (SELECT avg(fused_score) AS fused, max(rerank_score) AS best, max(page_end)::DOUBLE AS latency FROM retrieval_candidate GROUP BY query_id) WHERE latency IS NOT NULL",
     "g_best_paths": f"SELECT node, origin, hop, round(confidence, 6)::DOUBLE AS confidence, row_number() OVER (ORDER BY confidence DESC, hop, node)::INT AS rank FROM ({_REACHED}) QUALIFY rank <= 30",

@@ -66,7 +66,7 @@ def d_primary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d_complementary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fact = table(spark, sf_dir, "fact_observation").where("organization_id = 'org:001'")
+    fact = table(spark, sf_dir, "fact_observation")
     joined = fact.join(table(spark, sf_dir, "dim_code"), "code_key")
     cells = joined.groupBy("display").agg(F.count("*").cast("double").alias("value"), F.countDistinct("patient_key").alias("subjects"))
     low = cells.agg((F.min("subjects") + 1).alias("k")).collect()[0]["k"] or 1  # one number
@@ -195,8 +195,8 @@ SQL = {
     "f_all_operators": "SELECT count(*) FILTER (WHERE status = 'final') AS eq, count(*) FILTER (WHERE status <> 'final') AS ne, count(*) FILTER (WHERE unit IN ('mmol/L', 'g/L')) AS in_, count(*) FILTER (WHERE unit NOT IN ('mmol/L', 'g/L')) AS not_in, count(*) FILTER (WHERE value > 10) AS gt, count(*) FILTER (WHERE value >= 10) AS gte, count(*) FILTER (WHERE value < 10) AS lt, count(*) FILTER (WHERE value <= 10) AS lte, count(*) FILTER (WHERE is_abnormal) AS is_true, count(*) FILTER (WHERE NOT is_abnormal) AS is_false, count(*) FILTER (WHERE unit IS NULL) AS is_null, count(*) FILTER (WHERE unit IS NOT NULL) AS not_null FROM fact_observation",
     "d_primary": "SELECT c_mktsegment, n_name, CASE WHEN n >= 11 THEN n::DOUBLE END AS value, n AS subjects, n < 11 AS suppressed, CASE WHEN n < 11 THEN 'small_cell' END AS reason FROM (SELECT c_mktsegment, n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)",
     "d_complementary": _prefix(
-        "SELECT display, count(*)::DOUBLE AS value, count(DISTINCT patient_key) AS subjects FROM fact_observation JOIN dim_code USING (code_key) WHERE organization_id = 'org:001' GROUP BY display",
-        "SELECT count(*)::DOUBLE AS total FROM fact_observation JOIN dim_code USING (code_key) WHERE organization_id = 'org:001'", "display", "((SELECT min(subjects) FROM cells) + 1)",
+        "SELECT display, count(*)::DOUBLE AS value, count(DISTINCT patient_key) AS subjects FROM fact_observation JOIN dim_code USING (code_key) GROUP BY display",
+        "SELECT count(*)::DOUBLE AS total FROM fact_observation JOIN dim_code USING (code_key)", "display", "((SELECT min(subjects) FROM cells) + 1)",
     ),
     "e_organizations": "SELECT organization_id, count(*) AS rows FROM fact_observation WHERE organization_id <> '' GROUP BY organization_id",
     "q_tenant_scan": "SELECT observation_key, code_key, value, date_key, load_id FROM fact_observation WHERE organization_id = 'org:001' AND date_key BETWEEN 20260101 AND 20260131",

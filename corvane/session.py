@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is read from ``spark.checkpoint.dir``; only where that is unset, as in tests on one machine, a
-    temporary folder is made and set as the checkpoint folder.
+    It is read from ``spark.checkpoint.dir``; only where that is unset and Spark runs on one machine, as in tests,
+    a temporary folder is made and set as the checkpoint folder. A cluster without the setting is refused.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="corvane-")
     if not spark.sparkContext.getCheckpointDir():
@@ -30,7 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/corvane/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application. Results that are still to be read must be written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corvane/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
