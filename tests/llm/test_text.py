@@ -90,6 +90,14 @@ def test_scanned_faults(spark):
     assert ocr.scanned_faults(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("texts", [["no page was scanned here"], ["7", "..."], ["7\n8"], [CLEAN, ""]])
+def test_batches_without_words_or_headers(spark, texts):
+    """A batch may have no words, pairs, lines or page tops to count."""
+    d = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "id string, text string").coalesce(1)
+    assert ocr.scanned_faults(d).count() == 0
+    assert {r.repaired_text for r in ocr.repair(d).collect()} == set(texts)
+
+
 @pytest.mark.parametrize("line, page", [("- 7 -", True), ("[12]", True), ("p. 7/9", True), ("Page 3 of 14", True), ("  4", True), ("viii", True), ("Page: 9", True), ("was 12.0.", False), ("mix", False), ("Bay 6.", False), ("2026-03-14", False), ("", False)])
 def test_page_numbers(line, page):
     assert ocr.is_page_number(line) == page
