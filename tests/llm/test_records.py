@@ -2,7 +2,9 @@
 
 import datetime as dt
 import math
+import pathlib
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -94,6 +96,22 @@ def test_equal_records_are_scored(spark):
     assert 0.5 <= got["p-one", "p-two"] <= 1 and got["full-one", "full-two"] == 1 and ("n-one", "n-two") not in got
 
 
+def test_disk_is_freed_and_slices_dont_matter(spark):
+    """Shuffle files and blocks are deleted as soon as their result is written; any number of slices gives the same matches."""
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    tables = lambda: list(pathlib.Path(spark.conf.get("spark.checkpoint.dir")[7:]).glob("corvane/*/*"))
+    size = lambda: sum(f.apply(i).length() for f in [files()] for i in range(f.size()))
+    rows, _ = population()
+    rows += [(f"z{k}", *rows[k][1:]) for k in range(30)]  # equal records
+    spark._jvm.System.gc()
+    time.sleep(2)
+    before, known = size(), set(tables())
+    whole = linkage.match_records(spark.createDataFrame(rows, PERSON))
+    assert size() - before < 20_000 and not [t for t in set(tables()) - known if t.name.startswith(("blocks", "cells", "met"))]
+    sliced = linkage.match_records(spark.createDataFrame(rows, PERSON), pairs_per_class=8, least_pairs=1)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, sliced.collect()))
+
+
 def test_nulls_and_empty(spark):
     rows = [("a", None, None, None, None, None, None, None, None, None), (None, "one", [("official", "X", ["Y"])], None, None, None, None, None, None, None), ("b", "two", [], None, None, [], [], None, None, None), ("c", "two", [(None, None, None)], None, "", [(None, None, None)], [(None, None)], None, None, None)]
     assert linkage.match_records(spark.createDataFrame(rows, PERSON)).count() == 0
